@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, url_filters
+from . import fingerprints, mixing, quality_rules, url_filters, warc
 
 QUERIES = {
+    "op1_warc": warc.op1,
     "op3_quality_rules": quality_rules.op3,
     "op4_mixing": mixing.op4,
+    "op6_fingerprints": fingerprints.op6,
     "op9_url_filters": url_filters.op9,
 }
 ORACLE_SQL = {
+    "op1_warc": warc.op1_sql(),
     "op4_mixing": mixing.op4_sql(),
     "op9_url_filters": url_filters.op9_sql(),
 }
