@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, quality_rules, url_filters, warc
+from . import fingerprints, mixing, pii, quality_rules, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op3_quality_rules": quality_rules.op3,
     "op4_mixing": mixing.op4,
     "op6_fingerprints": fingerprints.op6,
+    "op7_toxicity": toxicity.op7,
+    "op8_pii": pii.op8,
     "op9_url_filters": url_filters.op9,
 }
 ORACLE_SQL = {
