@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, pii, quality_rules, toxicity, url_filters, warc
+from . import fingerprints, line_dedup, mixing, pii, quality_rules, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op3_quality_rules": quality_rules.op3,
     "op4_mixing": mixing.op4,
+    "op5_line_dedup": line_dedup.op5,
     "op6_fingerprints": fingerprints.op6,
     "op7_toxicity": toxicity.op7,
     "op8_pii": pii.op8,
