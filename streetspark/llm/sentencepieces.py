@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from .common import fresh, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 400_000
+CACHE = 1_000_000
 #: Characters of new words that are sorted at once.
 CHUNK = 400_000
 _CODECS: dict[str, Codec] = {}
@@ -59,16 +60,17 @@ class Codec:
         line = "" if any("\n" in p for p in self.ids) else "\n"
         cut = rf"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" + (r"|\n" if line else "")
         self.words = re.compile(r"(?s).+" if crossing else cut)
-        names = sorted(self.ids)
-        self.names = np.array(names, dtype=object)
+        # a piece that merging never makes is no edge
+        names = sorted(p for p in self.ids if self.merged(p) == [p])
+        self.numbers = np.array([self.ids[p] for p in names])
+        self.size = [len(p) for p in self.pieces]
         self.width = max(map(len, names))
         self.lengths = np.array([len(p) for p in names])
         self.low = np.array([p.encode("utf-32-be") for p in names], f"S{4 * self.width}")
         pad = b"\x7f\xff\xff\xff" * self.width
         self.high = np.array([(p.encode("utf-32-be") + pad)[: 4 * self.width] for p in names], f"S{4 * self.width}")
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
-        self.cache: dict[str, list[int]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.cache: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short string by merging: the best score first, then the leftmost."""
@@ -94,20 +96,15 @@ class Codec:
             offer(i, after[i])
         return [p for p in parts if p is not None]
 
-    def reachable(self, p: str) -> bool:
-        if (ok := self.whole.get(p)) is None:
-            ok = self.whole[p] = self.merged(p) == [p]
-        return ok
-
-    def fits(self, left: str, right: str) -> bool:
+    def fits(self, left: int, right: int) -> bool:
         """Whether the two pieces stay two when they stand side by side."""
-        if (ok := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > CACHE:
-                self.pairs.clear()
-            ok = self.pairs[left, right] = self.merged(left + right) == [left, right]
+        if len(self.pairs) > CACHE:
+            self.pairs.clear()
+        x, y = self.pieces[left], self.pieces[right]
+        ok = self.pairs[left * len(self.pieces) + right] = self.merged(x + y) == [x, y]
         return ok
 
-    def edges(self, text: str) -> tuple[list[int], list[str]]:
+    def edges(self, text: str) -> tuple[list[int], list[int]]:
         """(end, piece) of all occurrences of pieces, by end."""
         w = self.width
         code = np.frombuffer((text + "\0" * w).encode("utf-32-be"), np.uint8).reshape(-1, 4)
@@ -121,71 +118,64 @@ class Codec:
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         end = suffixes[at] + self.lengths[which]
         order = np.argsort(end, kind="stable")
-        return end[order].tolist(), self.names[which[order]].tolist()
+        return end[order].tolist(), self.numbers[which[order]].tolist()
 
     def relax(self, words: list[str]) -> None:
         """Encodes the words, which go to the cache."""
         text = "\0".join(words)
-        ends, pieces = self.edges(text)
-        last: list[str | None] = [None] * (len(text) + 1)
-        e, m = 0, len(ends)
+        # the last piece of the encoding up to a place; -1: a word starts here, -2: a character without a piece
+        last: list[int | None] = [None] * (len(text) + 1)
+        for at, c in enumerate(text):
+            if c not in self.ids:
+                last[at + 1] = -1 if c == "\0" else -2  # one without a piece merges with nothing
+        last[0] = -1
+        size, pairs, n, fits = self.size, self.pairs, len(self.pieces), self.fits
+        for at, p in zip(*self.edges(text), strict=True):
+            if last[at] is None:
+                b = last[at - size[p]]
+                if b is not None:
+                    ok = True if b < 0 else pairs.get(b * n + p)
+                    if ok or (ok is None and fits(b, p)):
+                        last[at] = p
         start = 0
         for word in words:
-            stop = start + len(word)
-            for at in range(start + 1, stop + 1):
-                found = None
-                while e < m and ends[e] < at:
-                    e += 1
-                while e < m and ends[e] == at:
-                    p = pieces[e]
-                    e += 1
-                    j = at - len(p)
-                    if found is None and j >= start and self.reachable(p):
-                        b = last[j] if j > start else ""
-                        if b is not None and (not b or b[0] == "\0" or self.fits(b, p)):
-                            found = p
-                c = text[at - 1]
-                # a character without a piece merges with nothing
-                last[at] = found if found is not None else ("\0" + c if c not in self.ids else None)
+            at = start + len(word)
             out: list[int] = []
-            at = stop
             while at > start:
                 p = last[at]
-                if p[0] == "\0" and len(p) == 2:
-                    out += [self.byte_ids.get(b, 0) for b in reversed(p[1].encode("utf-8", "surrogatepass"))]
+                if p < 0:
+                    out += [self.byte_ids.get(x, 0) for x in reversed(text[at - 1].encode("utf-8", "surrogatepass"))]
                     at -= 1
                 else:
-                    out.append(self.ids[p])
-                    at -= len(p)
-            self.cache[word] = out[::-1]
-            start = stop + 1
+                    out.append(p)
+                    at -= size[p]
+            self.cache[word] = array("i", out[::-1]).tobytes()
+            start += len(word) + 1
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.cache) > CACHE:
             self.cache.clear()
+        cache = self.cache
         split = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new: dict[str, None] = {}
+        new: list[str] = []
         size = 0
-        for words in split:
-            for w in words:
-                if w not in self.cache and w not in new:
-                    if "\0" in w:  # the text's own separators
-                        parts = re.split("(\0)", w)
-                        for p in parts:
-                            if p and p != "\0" and p not in self.cache:
-                                self.relax([p])
-                        nul = [self.byte_ids.get(0, 0)]
-                        self.cache[w] = [i for p in parts if p for i in (nul if p == "\0" else self.cache[p])]
-                        continue
-                    new[w] = None
-                    size += len(w) + 1
-                    if size >= CHUNK:
-                        self.relax(list(new))
-                        new, size = {}, 0
+        for w in set().union(*split).difference(cache) if split else ():
+            if "\0" in w:  # the separator itself
+                parts = [p for p in re.split("(\0)", w) if p]
+                for p in parts:
+                    if p != "\0" and p not in cache:
+                        self.relax([p])
+                nul = array("i", [self.byte_ids.get(0, 0)]).tobytes()
+                cache[w] = b"".join([nul if p == "\0" else cache[p] for p in parts])
+                continue
+            new.append(w)
+            size += len(w) + 1
+            if size >= CHUNK:
+                self.relax(new)
+                new, size = [], 0
         if new:
-            self.relax(list(new))
-        cache = self.cache
-        return [np.array([i for w in words for i in cache[w]], np.int32) for words in split]
+            self.relax(new)
+        return [np.frombuffer(b"".join(map(cache.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids) -> str:
         s = b"".join([self.out[i] for i in ids if i not in self.control]).decode("utf-8", "replace")
