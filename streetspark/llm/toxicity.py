@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import stored, text_of
 
 MAX_FIT = 20_000
 MAX_TERMS = 500
@@ -166,7 +166,8 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_FIT) -> DataFram
     if n > bound:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * bound / n))
     d = docs.select(docs["doc_id"].alias("doc_id"), text_of(docs["text"]).alias("text"))
-    return d.join(usable, "doc_id").select("text", "toxic")
+    # about ``bound`` ids, so they are broadcast and no text is shuffled
+    return stored(d.join(F.broadcast(usable), "doc_id").select("text", "toxic"), "toxicity-sample")
 
 
 def learn_terms(rows: DataFrame) -> list[str]:
@@ -176,24 +177,27 @@ def learn_terms(rows: DataFrame) -> list[str]:
     happen to share are left out. No stem begins with another.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame], only: frozenset[str] | None) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            both = (Counter(), Counter())
-            for text, y in zip(pdf["text"], pdf["toxic"], strict=True):
-                both[y].update(stems_of(set(WORDS.findall(text.lower()))))
-            keys = list(both[0].keys() | both[1].keys())
-            yield pd.DataFrame({"stem": keys, "clean": [both[0][k] for k in keys], "toxic": [both[1][k] for k in keys]})
+            seen: Counter = Counter()
+            for text in pdf["text"]:
+                stems = stems_of(set(WORDS.findall(text.lower())))
+                seen.update(stems if only is None else only.intersection(stems))
+            yield pd.DataFrame({"stem": list(seen), "n": list(seen.values())})
 
     total = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("toxic")).first()
     if not total[0] or total[0] == total[1]:
         return []
     least = max(4, math.ceil(0.004 * total[0]))
-    found = rows.mapInPandas(count, "stem string, clean long, toxic long").groupBy("stem")
-    found = found.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    found = found.where((F.col("toxic") >= least) & (F.col("clean") * 33 <= F.col("toxic")))
-    top = found.orderBy(F.col("toxic").desc(), F.length("stem"), "stem").limit(4 * MAX_TERMS).collect()
-    counted = {r["stem"]: r["toxic"] for r in top}
-    best = list(counted)
+    # stems of enough toxic documents; the sample bounds them, and only they are counted in the others
+    found = rows.where("toxic = 1").mapInPandas(lambda b: count(b, None), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+    toxic_in = {r["stem"]: r["n"] for r in found.where(F.col("n") >= least).collect()}
+    names = frozenset(toxic_in)
+    others = rows.where("toxic = 0").mapInPandas(lambda b: count(b, names), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+    clean_in = {r["stem"]: r["n"] for r in others.collect()}
+    good = [s for s, n in toxic_in.items() if 33 * clean_in.get(s, 0) <= n]
+    best = sorted(good, key=lambda s: (-toxic_in[s], len(s), s))[: 4 * MAX_TERMS]
+    counted = {s: toxic_in[s] for s in best}
     place = {s: i for i, s in enumerate(best)}
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
