@@ -1,0 +1,257 @@
+"""Intersections of quadratic curves and nearest points, as Arrow-batched kernels.
+
+Candidate pairs come from a grid join on analytic bounds (``spatial.bbox_pairs``); a kernel sees one pair a row.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import geometry, spatial
+
+#: Tolerances: parameters of roots, the sine of a tangency, the residual by the common scale.
+ROOT_PARAMETER = 2e-5
+TANGENT_SINE = 1e-4
+RESIDUAL = 1e-10
+NAMES = [f"{s}_{c}" for s in "ab" for c in geometry.CONTROL]
+
+
+def power(p: np.ndarray) -> np.ndarray:
+    """Coefficients (1, t, t * t) of a curve of three points."""
+    return np.array([p[0], 2 * (p[1] - p[0]), p[0] - 2 * p[1] + p[2]])
+
+
+def at(c: np.ndarray, t: float) -> np.ndarray:
+    return c[0] + t * (c[1] + t * c[2])
+
+
+def slope(c: np.ndarray, t: float) -> np.ndarray:
+    return c[1] + 2 * t * c[2]
+
+
+def det(a: np.ndarray, b: np.ndarray) -> float:
+    return a[0] * b[1] - a[1] * b[0]
+
+
+def real_roots(poly: np.ndarray, slack: float = 1e-6) -> list[float]:
+    """Roots near [0, 1] of a polynomial, the constant first."""
+    top = np.abs(poly).max()
+    if not top:
+        return []
+    poly = np.trim_zeros(np.where(np.abs(poly) < 1e-14 * top, 0, poly), "b")
+    if len(poly) < 2:
+        return []
+    r = np.roots(poly[::-1])
+    r = r.real[np.abs(r.imag) <= 1e-5]
+    return [float(x) for x in np.clip(r[(r >= -slack) & (r <= 1 + slack)], 0, 1)]
+
+
+def parameters_of(c: np.ndarray, p: np.ndarray) -> list[float]:
+    """Parameters in [0, 1] where the curve is near the point, on the axis on which it moves most."""
+    k = int(np.argmax(np.abs(c[1]) + np.abs(c[2])))
+    return real_roots(np.array([c[0, k] - p[k], c[1, k], c[2, k]]))
+
+
+def seeds(a: np.ndarray, b: np.ndarray) -> list[tuple[float, float]]:
+    """Candidate (t, u): ends on the other curve, and the roots of one curve put into the other's implicit form.
+
+    With w = b2, det(A(t) - b0, w) = u det(b1, w) gives u as a polynomial in t; the component along w is then a quartic in t.
+    """
+    out = [(t, u) for t in (0.0, 1.0) for u in parameters_of(b, at(a, t))] + [(t, u) for u in (0.0, 1.0) for t in parameters_of(a, at(b, u))]
+    rel = a.copy()
+    rel[0] = rel[0] - b[0]
+    turn = det(b[1], b[2])
+    if abs(turn) > 1e-12 * (np.abs(b[1]).max() * np.abs(b[2]).max() or 1):
+        u = np.array([det(r, b[2]) for r in rel]) / turn
+        along = rel @ b[2]
+        quartic = -np.dot(b[2], b[2]) * np.convolve(u, u)
+        quartic[:3] += along - np.dot(b[1], b[2]) * u
+        out += [(t, float(np.clip(u[0] + t * (u[1] + t * u[2]), 0, 1))) for t in real_roots(quartic)]
+    else:  # b is a straight line
+        d = b[1] if np.abs(b[1]).max() >= np.abs(b[2]).max() else b[2]
+        for t in real_roots(np.array([det(r, d) for r in rel])):
+            out += [(t, u) for u in parameters_of(b, at(a, t))]
+    return out
+
+
+def refine(a: np.ndarray, b: np.ndarray, t: float, u: float, rounds: int = 40) -> tuple[float, float, float]:
+    """Damped Gauss-Newton in the unit square, in plain numbers; the residual comes last."""
+    (ax0, ay0), (ax1, ay1), (ax2, ay2) = a.tolist()
+    (bx0, by0), (bx1, by1), (bx2, by2) = b.tolist()
+
+    def gap(t: float, u: float) -> tuple[float, float]:
+        return ax0 + t * (ax1 + t * ax2) - bx0 - u * (bx1 + u * bx2), ay0 + t * (ay1 + t * ay2) - by0 - u * (by1 + u * by2)
+
+    rx, ry = gap(t, u)
+    best = math.hypot(rx, ry)
+    for _ in range(rounds):
+        if best == 0.0:
+            break
+        p, q = ax1 + 2 * t * ax2, ay1 + 2 * t * ay2
+        v, w = -(bx1 + 2 * u * bx2), -(by1 + 2 * u * by2)
+        # normal equations, slightly damped, so that tangent curves have a step too
+        m11, m12, m22 = p * p + q * q, p * v + q * w, v * v + w * w
+        damp = 1e-14 * (m11 + m22) + 1e-300
+        m11, m22 = m11 + damp, m22 + damp
+        g1, g2 = p * rx + q * ry, v * rx + w * ry
+        d = m11 * m22 - m12 * m12
+        if d <= 0:
+            break
+        dt, du = (m12 * g2 - m22 * g1) / d, (m12 * g1 - m11 * g2) / d
+        for scale in (1.0, 0.5, 0.25, 0.0625):
+            t2, u2 = min(1.0, max(0.0, t + scale * dt)), min(1.0, max(0.0, u + scale * du))
+            sx, sy = gap(t2, u2)
+            new = math.hypot(sx, sy)
+            if new < best:
+                t, u, rx, ry, best = t2, u2, sx, sy, new
+                break
+        else:
+            break
+    return t, u, best
+
+
+def roots(pa: np.ndarray, pb: np.ndarray, residual: float) -> list[dict]:
+    """Intersections of two curves of three points: t_a, t_b, x, y, residual, sine; sorted, without repeats."""
+    a, b = power(pa), power(pb)
+    scale = max(np.abs(a[1:]).max(), np.abs(b[1:]).max(), 1e-300)
+    same = max(1e-8, 2 * float(np.sqrt(residual / scale)))
+    found: list[dict] = []
+    for s in seeds(a, b):
+        t, u, r = s[0], s[1], float(np.hypot(*(at(a, s[0]) - at(b, s[1]))))
+        if r > 0:
+            t, u, r = refine(a, b, t, u)
+        if r > residual:
+            continue
+        x = (at(a, t) + at(b, u)) / 2
+        sa, sb = slope(a, t), slope(b, u)
+        size = float(np.hypot(*sa) * np.hypot(*sb))
+        new = {"t_a": t, "t_b": u, "x": x[0], "y": x[1], "residual": r, "sine": abs(det(sa, sb)) / size if size else 0.0}
+        again = [k for k, old in enumerate(found) if abs(old["t_a"] - t) <= same and abs(old["t_b"] - u) <= same]
+        if not again:
+            found.append(new)
+        elif r < found[again[0]]["residual"]:
+            found[again[0]] = new
+    return sorted(found, key=lambda f: (f["t_a"], f["t_b"]))
+
+
+def overlap_kind(pa: np.ndarray, pb: np.ndarray) -> str | None:
+    """Proof of a shared stretch: identical or reversed control points, or monotone curves on one line whose intervals overlap."""
+    if (pa == pb).all():
+        return "identical"
+    if (pa == pb[::-1]).all():
+        return "reversed"
+    d = pa[2] - pa[0]
+    if not d.any():
+        return None
+    every = np.concatenate([pa, pb])
+    if any(det(d, p - pa[0]) != 0 for p in every):
+        return None
+    s = (every - pa[0]) @ d
+    for q in (s[:3], s[3:]):
+        if not min(q[0], q[2]) <= q[1] <= max(q[0], q[2]):
+            return None
+    low, high = max(min(s[0], s[2]), min(s[3], s[5])), min(max(s[0], s[2]), max(s[3], s[5]))
+    return "collinear" if high > low else None
+
+
+def pair_rows(curves: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, b, a_x0 .. b_y2) of pairs of segment ids."""
+    side = lambda s: curves.select(*keys, F.col("segment_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in geometry.CONTROL])
+    return pairs.join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"]).select(*keys, "a", "b", *NAMES)
+
+
+def _points(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    x = pdf[NAMES].to_numpy(float).reshape(-1, 2, 3, 2)
+    return x[:, 0], x[:, 1]
+
+
+def _schema(df: DataFrame, keys: list[str], more: str) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", " + more
+
+
+def curve_intersections(curves: DataFrame, keys: list[str], residual: float) -> DataFrame:
+    """(keys, a, b, kind, t_a, t_b, x, y, residual, sine) of all pairs whose bounds overlap, by group.
+
+    Pairs with a proven overlap give one row of the kind ``unresolved`` without parameters.
+    """
+    pairs = pair_rows(curves, spatial.bbox_pairs(geometry.with_bounds(curves), keys, "segment_id"), keys)
+    own = [*keys, "a", "b"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["t_a", "t_b", "x", "y", "residual", "sine"]
+        for pdf in batches:
+            rows = []
+            for k, pa, pb in zip(pdf[own].itertuples(index=False), *_points(pdf), strict=True):
+                if kind := overlap_kind(pa, pb):
+                    rows.append((*k, kind, *[None] * 6))
+                else:
+                    rows += [(*k, None, *[r[n] for n in names]) for r in roots(pa, pb, residual)]
+            yield pd.DataFrame(rows, columns=[*own, "overlap", *names])
+
+    found = pairs.mapInPandas(run, _schema(pairs, own, "overlap string, t_a double, t_b double, x double, y double, residual double, sine double"))
+    return found.withColumn("kind", F.when(F.col("overlap").isNotNull(), "unresolved").otherwise(root_kind()))
+
+
+def root_kind(near: float = ROOT_PARAMETER) -> Column:
+    """Where a root is: ends, inside, or a tangency."""
+    end = lambda t: (F.col(t) <= near) | (F.col(t) >= 1 - near)
+    return (
+        F.when(end("t_a") & end("t_b"), "endpoint_endpoint")
+        .when(end("t_a") | end("t_b"), "endpoint_interior")
+        .when(F.col("sine") <= TANGENT_SINE, "tangent")
+        .otherwise("interior_crossing")
+    )
+
+
+def reconcile(first: list[dict], second: list[dict], parameter: float = ROOT_PARAMETER, distance: float = 7e-8) -> tuple[list[tuple[dict, dict]], list[dict]]:
+    """Greedy one-to-one matches of the roots of two methods, by both parameters or by place; and what is left."""
+    rest, pairs, alone = list(second), [], []
+    for f in first:
+        hit = next((s for s in rest if (abs(f["t_a"] - s["t_a"]) <= parameter and abs(f["t_b"] - s["t_b"]) <= parameter) or np.hypot(f["x"] - s["x"], f["y"] - s["y"]) <= distance), None)
+        if hit is None:
+            alone.append(f)
+        else:
+            rest.remove(hit)
+            pairs.append((f, hit))
+    return pairs, alone + rest
+
+
+def overlaps(curves: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, b, overlap) of pairs with a proven shared stretch."""
+    pairs = pair_rows(curves, spatial.bbox_pairs(geometry.with_bounds(curves), keys, "segment_id"), keys)
+    own = [*keys, "a", "b"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            kinds = [overlap_kind(a, b) for a, b in zip(*_points(pdf), strict=True)]
+            yield pdf[own].assign(overlap=kinds).dropna(subset=["overlap"])
+
+    return pairs.mapInPandas(run, _schema(pairs, own, "overlap string"))
+
+
+def nearest(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, t, distance): the point of the curve that is nearest to (px, py), the first of equals."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            p = pdf[geometry.CONTROL].to_numpy(float).reshape(-1, 3, 2)
+            q = pdf[["px", "py"]].to_numpy(float)
+            ts, ds = [], []
+            for curve, point in zip(p, q, strict=True):
+                c = power(curve)
+                e = c[0] - point
+                cubic = np.array([e @ c[1], c[1] @ c[1] + 2 * e @ c[2], 3 * c[1] @ c[2], 2 * c[2] @ c[2]])
+                best = min((float(np.hypot(*(at(c, t) - point))), t) for t in [0.0, 1.0, *real_roots(cubic, 1e-12)])
+                ds.append(best[0])
+                ts.append(best[1])
+            yield pdf[keep].assign(t=ts, distance=ds)
+
+    cols = [*keep, *geometry.CONTROL, "px", "py"]
+    return rows.select(*dict.fromkeys(cols)).mapInPandas(run, _schema(rows, keep, "t double, distance double"))
