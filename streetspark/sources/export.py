@@ -72,20 +72,20 @@ def gate(hashes: DataFrame, expected: dict[str, str]) -> None:
         raise ValueError(f"missing or changed: {', '.join(wrong)}")
 
 
-@F.udf("string")
-def canonical_fingerprint(text: str) -> str:
+def fingerprint_of(text: str) -> str:
     """SHA-256 of a JSON document without its time of export, keys sorted, compact."""
     d = json.loads(text)
     d.pop("export_timestamp_utc", None)
     return hashlib.sha256(json.dumps(d, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
+def canonical_fingerprint(c: Column) -> Column:
+    return F.udf(fingerprint_of, "string")(c)
+
+
 def assert_empty(df: DataFrame, what: str) -> None:
     """An error that shows a few of the rows, if there are any."""
     rows = df.limit(5).collect()
     if rows:
         raise ValueError(f"{what}: {rows}")
 
-
-def canonical(c: Column) -> Column:
-    return canonical_fingerprint(c)
