@@ -17,7 +17,7 @@ In a bucket all sets are first compared with its least one, so a large group of
 copies costs a link each. Within a task copies and followers of the least set are taken
 out before the shuffle, so a common signature sends a row a batch. Sets of a bucket that are then still in
 different components are compared with each other. Pairs pass a parity sketch (a lower bound of the
-difference) before their features are fetched.
+difference) before their texts are fetched.
 
 Class ids are 64-bit hashes of sets (of 128 bits for equality). Words are lower-cased in
 A-Z only. Nulls: a null text has no words, and such documents link with nothing; a null doc_id stays
@@ -156,10 +156,10 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(sig, node, center, many): one row a signature and set, batch by batch.
+    """(sig, node, center): one row a signature and set, batch by batch.
 
-    Of a batch's sets with one signature the least is its main row (center null; ``many`` if there are
-    others); the others follow it.
+    Of a batch's sets with one signature the least is the main row and the center of the others. A center that is
+    null stands for a set alone in its batch.
     """
 
     def rows(sets: list[np.ndarray], nodes: list[int]) -> pd.DataFrame:
@@ -170,12 +170,11 @@ def signed(docs: DataFrame) -> DataFrame:
         sig, node = sig[order], node[order]
         new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
         sig, node = sig[new], node[new]
-        main = np.r_[True, sig[1:] != sig[:-1]]
-        at = np.flatnonzero(main)
+        at = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         size = np.diff(np.r_[at, len(sig)])
         center = pd.array(np.repeat(node[at], size), dtype="Int64")
-        center[main] = pd.NA
-        return pd.DataFrame({"sig": sig, "node": node, "center": center, "many": main & (np.repeat(size, size) > 1)})
+        center[np.repeat(size, size) == 1] = pd.NA
+        return pd.DataFrame({"sig": sig, "node": node, "center": center})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: list[np.ndarray] = []
@@ -203,17 +202,18 @@ def signed(docs: DataFrame) -> DataFrame:
             yield rows(sets, nodes)
 
     d = docs.select(text_of(docs["text"]).alias("text"))
-    return d.mapInPandas(run, "sig long, node long, center long, many boolean")
+    return d.mapInPandas(run, "sig long, node long, center long")
 
 
 def buckets(docs: DataFrame) -> DataFrame:
     """(sig, node, center) of signatures that two sets or more have, stored."""
     s = signed(docs)
-    salt = F.when(F.col("center").isNotNull(), F.col("node")).otherwise(F.lit(0).cast("long"))
+    follows = F.coalesce(F.col("center") != F.col("node"), F.lit(False))
+    salt = F.when(follows, F.col("node")).otherwise(F.lit(0).cast("long"))
     w = Window.partitionBy("sig", salt)
     s = s.select("*", F.min("node").over(w).alias("least"), F.max("node").over(w).alias("most"))
-    s = s.where("center IS NOT NULL OR many OR least <> most")
-    return stored(s.select("sig", "node", F.coalesce("center", "least").alias("center")), "jaccard-buckets")
+    s = s.where("center IS NOT NULL OR least <> most")
+    return stored(s.select("sig", "node", F.when(follows, F.col("center")).otherwise(F.col("least")).alias("center")), "jaccard-buckets")
 
 
 def possible(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -227,8 +227,8 @@ def possible(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     return stored(x.where(size & (7 * least <= F.col("n_a") + F.col("n_b"))).select("a", "b"), "jaccard-pairs")
 
 
-def features(docs: DataFrame, cls: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, f) of the classes in ``pairs``, stored: the features' bytes. One document of a class is read."""
+def texts_of(docs: DataFrame, cls: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of the classes in ``pairs``, stored; one document of a class is read. A text is smaller than its features."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     reps = cls.join(need, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     reps = stored(reps, "jaccard-needed")
@@ -238,29 +238,37 @@ def features(docs: DataFrame, cls: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            f = [shingles(t) for t in pdf["text"]]
-            yield pd.DataFrame({"node": [set_hashes(x)[0] for x in f], "f": [x.tobytes() for x in f]})
+            yield pd.DataFrame({"node": [set_hashes(shingles(t))[0] for t in pdf["text"]], "text": pdf["text"]})
 
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs["text"]).alias("text"))
     d = d.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-    found = d.mapInPandas(run, "node long, f binary").join(need, "node", "left_semi")
-    return stored(found.groupBy("node").agg(F.first("f").alias("f")), "jaccard-features")
+    nodes = reps.select(F.col("node").alias("needed"))
+    if reps.count() <= BROADCAST_ROWS:
+        nodes = F.broadcast(nodes)
+    found = d.mapInPandas(run, "node long, text string").join(nodes, F.col("node") == F.col("needed"), "left_semi")
+    # rows that share a doc_id may give a class twice; equal sets make either text right
+    return stored(found, "jaccard-texts").dropDuplicates(["node"])
 
 
-def linked(pairs: DataFrame, feats: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of 0.75 or more, stored."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["fa"], pdf["fb"], strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= 75 * (len(x) + len(y) - both))
+            keep, sets = [], {}
+            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
+                if len(sets) > 512:
+                    sets.clear()
+                for node, text in ((a, x), (b, y)):
+                    if node not in sets:
+                        sets[node] = shingles(text)
+                f, g = sets[a], sets[b]
+                both = len(np.intersect1d(f, g, assume_unique=True))
+                keep.append(100 * both >= 75 * (len(f) + len(g) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    x = pairs.join(feats.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a")
-    x = x.join(feats.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
+    x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    x = x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return stored(x.mapInPandas(run, "a long, b long"), "jaccard-links")
 
 
@@ -271,7 +279,7 @@ def groups(docs: DataFrame) -> DataFrame:
     b = buckets(docs)
     star = b.where("node <> center").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
     star = possible(star, sketch)
-    links = linked(star, features(docs, cls, star))
+    links = linked(star, texts_of(docs, cls, star))
     labels = components(links)
 
     named = b.join(labels, b["node"] == labels["id"], "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
@@ -281,7 +289,7 @@ def groups(docs: DataFrame) -> DataFrame:
     more = i.join(j, (F.col("i.sig") == F.col("j.sig")) & (F.col("i.node") < F.col("j.node")) & (F.col("i.c") != F.col("j.c")))
     more = more.select(F.col("i.node").alias("a"), F.col("j.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = possible(more, sketch)
-    further = linked(more, features(docs, cls, more))
+    further = linked(more, texts_of(docs, cls, more))
     labels = components(links.union(further))
 
     x = cls.join(labels, cls["node"] == labels["id"], "left")
