@@ -75,11 +75,11 @@ def set_hashes(f: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
-def parity(f: np.ndarray) -> list[int]:
-    """256 parities of features; two sets differ in at least as many features as parities."""
-    at = mixed(f, 103) & U(255)
-    bits = np.bincount(at.astype(np.int64), minlength=256) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+def parity(f: np.ndarray, bits: int) -> list[int]:
+    """Parities of features; two sets differ in at least as many features as parities."""
+    at = mixed(f, 103) & U(bits - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def bands(most: int) -> list[int]:
@@ -140,19 +140,19 @@ def _long(column: pd.Series) -> list:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, other, p0..p3) per row, stored: the size of its set, two hashes of it, its parities."""
+    """(doc_id, n, node, other, p0..p3, wide) per row, stored: the size of its set, two hashes of it, 256 and 1024 parities."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for doc, text in zip(_long(pdf["doc_id"]), pdf["text"], strict=True):
                 f = shingles(text)
-                rows.append((doc, len(f), *set_hashes(f), *parity(f)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "node", "other", "p0", "p1", "p2", "p3"])
+                rows.append((doc, len(f), *set_hashes(f), *parity(f, 256), parity(f, 1024)))
+            out = pd.DataFrame(rows, columns=["doc_id", "n", "node", "other", "p0", "p1", "p2", "p3", "wide"])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs["text"]).alias("text"))
-    return stored(d.mapInPandas(run, "doc_id long, n long, node long, other long, p0 long, p1 long, p2 long, p3 long"), "jaccard-classes")
+    return stored(d.mapInPandas(run, "doc_id long, n long, node long, other long, p0 long, p1 long, p2 long, p3 long, wide array<long>"), "jaccard-classes")
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -217,14 +217,18 @@ def buckets(docs: DataFrame) -> DataFrame:
 
 
 def possible(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and parities allow a link, stored."""
+    """The pairs (a, b) whose sizes and parities allow a link, stored: first few parities of all, then many of those left."""
     cols = ["node", "n", "p0", "p1", "p2", "p3"]
     left = sketch.select(*[F.col(c).alias(f"{c}_a") for c in cols])
     right = sketch.select(*[F.col(c).alias(f"{c}_b") for c in cols])
     x = pairs.join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b"))
     least = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(4)), F.lit(0))
     size = (4 * F.col("n_a") >= 3 * F.col("n_b")) & (4 * F.col("n_b") >= 3 * F.col("n_a"))
-    return stored(x.where(size & (7 * least <= F.col("n_a") + F.col("n_b"))).select("a", "b"), "jaccard-pairs")
+    x = x.where(size & (7 * least <= F.col("n_a") + F.col("n_b"))).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"))
+    left, right = (sketch.select(F.col("node").alias(c), F.col("wide").alias(f"w_{c}")) for c in "ab")
+    x = x.join(left, "a").join(right, "b")
+    odd = F.zip_with("w_a", "w_b", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return stored(x.where(7 * F.aggregate(odd, F.lit(0), lambda s, v: s + v) <= F.col("n")).select("a", "b"), "jaccard-pairs")
 
 
 def texts_of(docs: DataFrame, cls: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -275,7 +279,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row."""
     cls = classes(docs)
-    sketch = stored(cls.where("n >= 3").select("node", "n", "p0", "p1", "p2", "p3").distinct(), "jaccard-sketches")
+    sketch = stored(cls.where("n >= 3").dropDuplicates(["node"]).select("node", "n", "p0", "p1", "p2", "p3", "wide"), "jaccard-sketches")
     b = buckets(docs)
     star = b.where("node <> center").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
     star = possible(star, sketch)
