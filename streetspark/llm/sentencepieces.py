@@ -34,7 +34,8 @@ from .common import fresh, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 1_000_000
+CACHE = 300_000
+BATCH = 2_000_000
 #: Characters of new words that are sorted at once.
 CHUNK = 400_000
 _CODECS: dict[str, Codec] = {}
@@ -153,6 +154,19 @@ class Codec:
             start += len(word) + 1
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; words of about BATCH characters are held at a time."""
+        out: list[np.ndarray] = []
+        part: list[str] = []
+        size = 0
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size >= BATCH:
+                out += self.encode_part(part)
+                part, size = [], 0
+        return out + self.encode_part(part)
+
+    def encode_part(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.cache) > CACHE:
             self.cache.clear()
         cache = self.cache
