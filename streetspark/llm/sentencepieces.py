@@ -37,7 +37,7 @@ SPACE = "▁"
 CACHE = 300_000
 BATCH = 2_000_000
 #: Characters of new words that are sorted at once.
-CHUNK = 400_000
+CHUNK = 150_000
 _CODECS: dict[str, Codec] = {}
 
 
