@@ -82,6 +82,22 @@ def parity(f: np.ndarray, bits: int) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def odd_bits(f: np.ndarray) -> bytes:
+    """Parities in four to eight bits a feature, 1024 at least."""
+    bits = max(1024, 1 << (4 * len(f) - 1).bit_length())
+    return np.array(parity(f, bits), np.int64).tobytes()
+
+
+def fewest_differences(x: bytes, y: bytes) -> int:
+    """A lower bound of the difference of two sets from their parities; the longer ones are folded."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def bands(most: int) -> list[int]:
     """Largest sizes of the bands."""
     out = [4]
@@ -232,7 +248,7 @@ def possible(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, cls: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the classes in ``pairs``, stored; one document of a class is read. A text is smaller than its features."""
+    """(node, n, odd, text) of the classes in ``pairs``, stored; one document of a class is read. A text is smaller than its features."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     reps = cls.join(need, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     reps = stored(reps, "jaccard-needed")
@@ -242,14 +258,18 @@ def texts_of(docs: DataFrame, cls: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"node": [set_hashes(shingles(t))[0] for t in pdf["text"]], "text": pdf["text"]})
+            rows = []
+            for t in pdf["text"]:
+                f = shingles(t)
+                rows.append((set_hashes(f)[0], len(f), odd_bits(f), t))
+            yield pd.DataFrame(rows, columns=["node", "n", "odd", "text"])
 
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs["text"]).alias("text"))
     d = d.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
     nodes = reps.select(F.col("node").alias("needed"))
     if reps.count() <= BROADCAST_ROWS:
         nodes = F.broadcast(nodes)
-    found = d.mapInPandas(run, "node long, text string").join(nodes, F.col("node") == F.col("needed"), "left_semi")
+    found = d.mapInPandas(run, "node long, n long, odd binary, text string").join(nodes, F.col("node") == F.col("needed"), "left_semi")
     # rows that share a doc_id may give a class twice; equal sets make either text right
     return stored(found, "jaccard-texts").dropDuplicates(["node"])
 
@@ -271,6 +291,15 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 75 * (len(f) + len(g) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
+    def rule_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            least = [fewest_differences(x, y) for x, y in zip(pdf["odd_a"], pdf["odd_b"], strict=True)]
+            keep = 7 * np.array(least, np.int64) <= (pdf["n_a"] + pdf["n_b"]).to_numpy()
+            yield pdf.loc[keep, ["a", "b"]]
+
+    # parities in proportion to the sets, much smaller than the texts
+    odd_a, odd_b = (texts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
+    pairs = stored(pairs.join(odd_a, "a").join(odd_b, "b").mapInPandas(rule_out, "a long, b long"), "jaccard-likely")
     x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     x = x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return stored(x.mapInPandas(run, "a long, b long"), "jaccard-links")
