@@ -282,3 +282,55 @@ def test_pipeline_stages(spark, docs):
         d = spark.createDataFrame(out.collect(), out.schema)
     ids = [r["doc_id"] for r in d.collect()]
     assert 1 in ids and 2 not in ids and 6 not in ids
+
+
+def word_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def brute_removed(rows):
+    """(doc_id, pos) of the lines that go, by comparing all lines with each other."""
+    at = sorted((i, p, x) for i, t, *_ in rows if t is not None for p, x in enumerate(t.split("\n")) if words(x) and len(x) >= line_dedup.EXACT_CHARS)
+    lines = sorted({x for *_, x in at})
+    part = {x: k for k, x in enumerate(lines)}
+    for k, a in enumerate(lines):
+        for b in lines[:k]:
+            u, v = words(a), words(b)
+            t = min(len(u), len(v)) // line_dedup.WORD_SHARE
+            near = abs(len(a) - len(b)) <= line_dedup.TAU and word_distance(a, b) <= line_dedup.TAU
+            near = near or (abs(len(u) - len(v)) <= t and word_distance(u, v) <= t)
+            if min(len(a), len(b)) >= line_dedup.NEAR_CHARS and near and part[a] != part[b]:
+                part = {x: part[b] if p == part[a] else p for x, p in part.items()}
+    seen, gone = set(), set()
+    for i, p, x in at:
+        if part[x] in seen:
+            gone.add((i, p))
+        seen.add(part[x])
+    return gone
+
+
+def test_line_dedup_links_lines_with_replaced_words(spark):
+    import random
+
+    random.seed(7)
+    vocabulary = ["".join(random.choice("abcdeéß") for _ in range(random.randint(1, 12))) for _ in range(300)]
+    rows = []
+    for _ in range(25):
+        w = [random.choice(vocabulary) for _ in range(random.choice((9, 10, 14, 20, 38, 42, 60, 130)))]
+        for e in (0, 1, 1, 2, 4, 7):
+            v = list(w)
+            for _ in range(e):
+                k = random.randrange(len(v))
+                v[k : k + 1] = random.choice(([random.choice(vocabulary)], [], [v[k], random.choice(vocabulary)], [v[k] + "x"]))
+            rows.append((len(rows), "some other line " + str(len(rows)) + "\n" + " ".join(v), "en", "s", 1))
+    got = {(r["doc_id"], r["pos"]) for r in line_dedup.removed_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_removed(rows)
+    a, b = " ".join(vocabulary[:60]), " ".join([*vocabulary[:30], "otherwordhere", *vocabulary[31:60]])
+    two = spark.createDataFrame([(1, a, "en", "s", 1), (2, b, "en", "s", 1)], SCHEMA)
+    assert [(r["doc_id"], r["pos"]) for r in line_dedup.removed_lines(two).collect()] == [(2, 0)]
