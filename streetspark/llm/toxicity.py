@@ -173,9 +173,10 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_FIT) -> DataFram
 def learn_terms(rows: DataFrame) -> list[str]:
     """Stems that occur in toxic documents and (nearly) never in others.
 
-    A stem must stand between many different pairs of words, so words that copied documents merely
-    happen to share are left out. No stem begins with another.
+    Equal texts of one label count once. A stem must stand between many different pairs of words, so words that
+    near copies merely happen to share are left out. No stem begins with another.
     """
+    rows = stored(rows.dropDuplicates(["text", "toxic"]), "toxicity-texts")
 
     def count(batches: Iterator[pd.DataFrame], only: frozenset[str] | None) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -196,9 +197,7 @@ def learn_terms(rows: DataFrame) -> list[str]:
     others = rows.where("toxic = 0").mapInPandas(lambda b: count(b, names), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
     clean_in = {r["stem"]: r["n"] for r in others.collect()}
     good = [s for s, n in toxic_in.items() if 33 * clean_in.get(s, 0) <= n]
-    best = sorted(good, key=lambda s: (-toxic_in[s], len(s), s))[: 4 * MAX_TERMS]
-    counted = {s: toxic_in[s] for s in best}
-    place = {s: i for i, s in enumerate(best)}
+    place = {s: i for i, s in enumerate(good)}
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -213,8 +212,8 @@ def learn_terms(rows: DataFrame) -> list[str]:
 
     # stems that copies and shared passages repeat have few contexts
     at = rows.where("toxic = 1").mapInPandas(contexts, "stem int, context long").distinct().groupBy("stem").count()
-    wide = {best[r["stem"]]: r["count"] for r in at.where(F.col("count") >= least).collect()}  # a row a candidate at most
-    toxic = {s: n for s, n in counted.items() if wide.get(s, 0) >= max(least, 0.5 * n)}
+    wide = {good[r["stem"]]: r["count"] for r in at.where(F.col("count") >= least).collect()}  # a row a candidate at most
+    toxic = {s: toxic_in[s] for s in good if wide.get(s, 0) >= max(least, 0.5 * toxic_in[s])}
     terms: list[str] = []
     for s in sorted(toxic, key=lambda s: (len(s), s)):
         if not any(s[:n] in terms for n in STEM if n < len(s)):

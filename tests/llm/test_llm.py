@@ -334,3 +334,15 @@ def test_line_dedup_links_lines_with_replaced_words(spark):
     a, b = " ".join(vocabulary[:60]), " ".join([*vocabulary[:30], "otherwordhere", *vocabulary[31:60]])
     two = spark.createDataFrame([(1, a, "en", "s", 1), (2, b, "en", "s", 1)], SCHEMA)
     assert [(r["doc_id"], r["pos"]) for r in line_dedup.removed_lines(two).collect()] == [(2, 0)]
+
+
+def test_toxicity_learns_beside_copies_of_one_document(spark):
+    copy = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}copied" for i in range(2500)) + " idiotic"
+    docs = [(i, f"word{i} plain text {'idiotic' if i % 2 else 'kindly'} other{i} more", "en", "s", 1) for i in range(200)]
+    docs += [(1000 + i, copy, "en", "s", 1) for i in range(100)]
+    labels = spark.createDataFrame([(i, 1, i % 2 if i < 1000 else 1) for i, *_ in docs], "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame(docs, SCHEMA)
+    model = toxicity.fit(d, labels)
+    assert any("idiotic$".startswith(t) for t in model[0]) and not any("copied" in t for t in model[0])
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()}
+    assert min(score[i] for i in range(1, 200, 2)) >= toxicity.THRESHOLD > max(score[i] for i in range(0, 200, 2))
