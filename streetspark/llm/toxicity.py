@@ -111,13 +111,15 @@ class Lexicon:
         # within one edit, the first or the second half of a term is there unchanged
         halves = [(t.removesuffix("$"), len(t.removesuffix("$")) // 2) for t in long]
         self.heads, self.tails = {t[:h] for t, h in halves}, {t[h:] for t, h in halves}
-        self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+        self.head_sizes = sorted({len(x) for x in self.heads})
+        # an edit in the first half moves the second one by one place at most
+        self.tail_places = sorted({(h + d, len(t) - h) for t, h in halves for d in (-1, 0, 1)})
         self.seen: dict[str, int] = {}
 
     def maybe(self, w: str) -> bool:
         if any(w[:n] in self.heads for n in self.head_sizes):
             return True
-        return any(w[a : a + n] in self.tails for n in self.tail_sizes for a in range(1, 6))
+        return any(w[a : a + n] in self.tails for a, n in self.tail_places)
 
     def kind(self, w: str) -> int:
         """0: none, 1: exact, 2: within one edit."""

@@ -346,3 +346,14 @@ def test_toxicity_learns_beside_copies_of_one_document(spark):
     assert any("idiotic$".startswith(t) for t in model[0]) and not any("copied" in t for t in model[0])
     score = {r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()}
     assert min(score[i] for i in range(1, 200, 2)) >= toxicity.THRESHOLD > max(score[i] for i in range(0, 200, 2))
+
+
+def test_lexicon_asks_the_automaton_for_every_word_within_one_edit():
+    import string
+
+    for term in ("clown$", "moron", "scoundrels$", "scoundrelly$", "good-for-nothings$".replace("-", "")):
+        lexicon, t = toxicity.Lexicon([term]), term.removesuffix("$")
+        for i in range(len(t) + 1):
+            for c in string.ascii_lowercase:
+                for w in (t[:i] + c + t[i:], t[:i] + c + t[i + 1 :], t[:i] + t[i + 1 :]):
+                    assert (lexicon.kind(w) > 0) == bool(toxicity.near(w, lexicon.fuzzy)), (term, w)
