@@ -357,3 +357,10 @@ def test_lexicon_asks_the_automaton_for_every_word_within_one_edit():
             for c in string.ascii_lowercase:
                 for w in (t[:i] + c + t[i:], t[:i] + c + t[i + 1 :], t[:i] + t[i + 1 :]):
                     assert (lexicon.kind(w) > 0) == bool(toxicity.near(w, lexicon.fuzzy)), (term, w)
+
+
+def test_line_dedup_classes_short_lines(spark):
+    lines = ["Les.", "Of, edti oner.", "a line of 20 letters", "a line of 2o letters", "x", " "]
+    rows = [(i, "\n".join([f"{i * 7919}", *lines[: 3 - i], *lines[3 - i :]]), "en", "s", 1) for i in range(2)]
+    got = {(r["doc_id"], r["pos"]) for r in line_dedup.removed_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(0, 4), (1, 1), (1, 2), (1, 3), (1, 4), (1, 5)} == brute_removed(rows)
