@@ -1,16 +1,15 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and sentences (native).
+"""Document fingerprints: a Merkle tree over sections and paragraphs, and the words (native).
 
 A text is cut, without losing a character, into sections (ending with a blank
-line), paragraphs (ending with a newline) and leaves (a sentence, or 80
-characters of a longer one). A paragraph's hash is the SHA-256 of its bytes, a
+line) and paragraphs (ending with a newline). A paragraph's hash is the SHA-256 of its bytes, a
 section's that of its paragraphs' hashes, the root's that of the sections'.
 Equal texts have equal roots; where roots differ, only differing branches
 have to be entered to locate an edit (``differing_branches``).
 
-The fingerprint string is ``root:leaves[:words]``: 8 hexadecimal digits a leaf,
-and a word in texts of up to 16 leaves. The likeness of two fingerprints is 1
-if the roots are equal, else the Dice coefficient of their sets of words, if
-both have them, or of leaves.
+The fingerprint string is ``root:paragraphs:words``: 8 hexadecimal digits a paragraph, sections parted by
+dots, and 8 a distinct word; of words of more than LONG_WORD characters, a run without spaces, every
+substring of GRAM characters counts as a word. The likeness of two fingerprints is 1 if the roots are equal, else
+the Dice coefficient of their sets of words, at every size.
 
 Nulls: a null text is the empty text, a null doc_id sorts first. Rows with the same
 doc_id follow each other by the hash of their texts. Empty table: empty
@@ -24,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import let, stored, text_of, words_of
 
-LEAF = r"[^.!?]{1,80}[.!?]{0,8}|[.!?]{1,8}"
-FEW_LEAVES = 16
+LONG_WORD = 32
+GRAM = 8
 #: Documents a bucket of the doc_id order has on average.
 BUCKET_ROWS = 256
 
@@ -72,27 +71,27 @@ def _short(x: Column) -> Column:
     return F.right(F.lpad(F.hex(F.xxhash64(x)), 16, "0"), F.lit(8))
 
 
+def _pieces(word: Column) -> Column:
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - GRAM + 1), lambda i: _short(F.array_join(F.slice(c, i, GRAM), "")))
+    return F.when(F.length(word) <= LONG_WORD, F.array(_short(word))).otherwise(let(F.split(word, ""), grams))
+
+
 def fingerprint(text: Column) -> Column:
-    """Struct of root, leaves and words (null in longer texts): distinct short hashes, in order."""
-    leaves = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LEAF), F.lit(0)), _short))
-    words = F.array_distinct(F.transform(words_of(text), _short))
-    return let(
-        leaves,
-        lambda x: F.struct(tree(text)["root"].alias("root"), x.alias("leaves"), F.when(F.size(x) <= FEW_LEAVES, words).alias("words")),
-    )
+    """Struct of root, paragraphs (short hashes, an array a section) and words (distinct short hashes, in order)."""
+    words = F.array_distinct(F.flatten(F.transform(words_of(text), _pieces)))
+    paragraphs = lambda t: F.transform(t["sections"], lambda s: F.transform(s["paragraphs"], lambda h: F.left(h, F.lit(8))))
+    return let(tree(text), lambda t: F.struct(t["root"].alias("root"), paragraphs(t).alias("paragraphs"), words.alias("words")))
 
 
 def as_string(fp: Column) -> Column:
-    return F.concat_ws(":", fp["root"], F.array_join(fp["leaves"], ""), F.array_join(fp["words"], ""))
+    paragraphs = F.array_join(F.transform(fp["paragraphs"], lambda p: F.array_join(p, "")), ".")
+    return F.concat_ws(":", fp["root"], paragraphs, F.array_join(fp["words"], ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    def dice(x: Column, y: Column) -> Column:
-        n = F.size(x) + F.size(y)
-        return F.when(n > 0, 2.0 * F.size(F.array_intersect(x, y)) / n).otherwise(F.lit(0.0))
-
-    both = a["words"].isNotNull() & b["words"].isNotNull()
-    return F.when(a["root"] == b["root"], F.lit(1.0)).when(both, dice(a["words"], b["words"])).otherwise(dice(a["leaves"], b["leaves"]))
+    n = F.size(a["words"]) + F.size(b["words"])
+    dice = F.when(n > 0, 2.0 * F.size(F.array_intersect(a["words"], b["words"])) / n).otherwise(F.lit(0.0))
+    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(dice)
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -364,3 +364,14 @@ def test_line_dedup_classes_short_lines(spark):
     rows = [(i, "\n".join([f"{i * 7919}", *lines[: 3 - i], *lines[3 - i :]]), "en", "s", 1) for i in range(2)]
     got = {(r["doc_id"], r["pos"]) for r in line_dedup.removed_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(0, 4), (1, 1), (1, 2), (1, 3), (1, 4), (1, 5)} == brute_removed(rows)
+
+
+def test_likeness_is_one_measure_at_every_size(spark):
+    w = [f"word{i}" for i in range(400)]
+    run = "".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(60))
+    pairs = [(" ".join(w[:n]), " ".join(x if i % 20 else "new" for i, x in enumerate(w[:n]))) for n in (40, 100, 400)] + [(run, run[:9] + "x" + run[9:])]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    df = df.select(fingerprints.fingerprint(F.col("a")).alias("x"), fingerprints.fingerprint(F.col("b")).alias("y"))
+    rows = df.select(fingerprints.likeness(F.col("x"), F.col("y")), fingerprints.as_string(F.col("x"))).collect()
+    assert all(0.9 < r[0] < 1 for r in rows), rows
+    assert all(r[1].count(":") == 2 for r in rows)
