@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +11,10 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = f"[{SPACE_CLASS}]+"
 WORD = f"[^{SPACE_CLASS}]+"
+#: Up to so many rows of a few short columns are broadcast; beyond, a join shuffles both sides.
+BROADCAST_ROWS = 1_000_000
+#: At most so many frequent keys are joined by broadcast.
+HOT_KEYS = 4096
 
 
 def let(value: Column, body) -> Column:
@@ -34,12 +37,15 @@ def n_words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset (tests), an own one."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
+
+    Where both are unset, a folder of the warehouse, which is shared as well; never a folder of this machine alone.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="streetspark-")
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/streetspark-checkpoints"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -58,6 +64,38 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return read.select(*[read[f"`{c}`"] for c in df.columns])
 
 
+def discard(*stored_frames: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, once nothing reads it any more."""
+    for df in stored_frames:
+        spark = df.sparkSession
+        at = shared_dir(spark)
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            if path.getName() and path.getParent().toUri().getPath() == spark._jvm.org.apache.hadoop.fs.Path(at).toUri().getPath():
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def broadcast_bounded(df: DataFrame) -> DataFrame:
+    """A stored frame, to be broadcast if it has at most BROADCAST_ROWS rows; beyond, joins shuffle it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row a key, null where there is none.
+
+    Keys that a HOT_KEYS-th of the rows of ``left`` have, no more than HOT_KEYS then, are joined by broadcast, so that no task gets all rows of one.
+    """
+    n = left.count()
+    if n <= 1000:
+        return left.join(right, key, "left")
+    hot = stored(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1000, n // HOT_KEYS)).select(key), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, key, "left")
+    hot = F.broadcast(hot)
+    few = F.broadcast(stored(right.join(hot, key, "left_semi"), "hot-rows"))
+    return left.join(hot, key, "left_semi").join(few, key, "left").unionByName(left.join(hot, key, "left_anti").join(right, key, "left"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

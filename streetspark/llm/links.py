@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, hot_join, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): for every id that a link names the least id it is connected with.
 
     Least labels go along links and are shortened by pointer jumping, round by round; each round is
-    written to the shared folder, and nothing but a count comes to the driver.
+    written to the shared folder, and nothing but counts comes to the driver. Ids with a great part of the links, and labels
+    of a great part of the ids, are joined by broadcast.
     """
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = both.union(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).where("x <> y").distinct()
@@ -20,11 +21,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("label"))
     labels = stored(labels, "labels")
     while True:
-        near = both.join(labels, both["y"] == labels["id"]).groupBy("x").agg(F.min("label").alias("m"))
+        to = labels.select(F.col("id").alias("y"), F.col("label").alias("far"))
+        near = hot_join(both, to, "y").groupBy("x").agg(F.min("far").alias("m"))
         step = labels.join(near, labels["id"] == near["x"]).select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        to = labels.select(F.col("id").alias("at"), F.col("label").alias("further"))
-        step = step.join(to, step["label"] == to["at"]).select("id", "old", F.least("label", "further").alias("label"))
+        to = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
+        step = hot_join(stored(step, "labels-near"), to, "label").select("id", "old", F.least("label", "further").alias("label"))
         step = stored(step, "labels")
+        discard(labels)
         labels = step.select("id", "label")
         if step.where("label <> old").isEmpty():
             return labels.select("id", F.col("label").alias("component"))

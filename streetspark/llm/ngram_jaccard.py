@@ -6,44 +6,55 @@ their symmetric difference is at most (x + y) / 7.
 
 Equal sets are one class, so copies cost nothing further. Sizes are cut into
 bands, each 16/9 times as wide as the last; a pair meets in the band of its larger
-set, so a set signs for its own band and, if a partner may be in it, the next. A
-band divides the feature domain into parts by hash. Of a set that differs by at
-most k features from any partner, k + 1 non-empty parts are signed, in the order
-of the parts: at least one of them is the same in the partner. A set with too few non-empty
-parts signs all of them and also the prefix of its features in hash order; two such
-sets share a feature of their prefixes. No link is lost.
-
-In a bucket all sets are first compared with its least one, so a large group of near
-copies costs a link each. Within a task copies and followers of the least set are taken
-out before the shuffle, so a common signature sends a row a batch. Sets of a bucket that are then still in
-different components are compared with each other. Pairs pass a parity sketch (a lower bound of the
-difference) before their texts are fetched.
-
-Class ids are 64-bit hashes of sets (of 128 bits for equality). Words are lower-cased in
-A-Z only. Nulls: a null text has no words, and such documents link with nothing; a null doc_id stays
-null and is no component's id unless it is alone. Rows with equal sets are one class, repeated rows
-included. Empty table: empty result. Extra columns pass through ``one_of_each``.
+set, so a set signs for its own band and, if a partner may be in it, the next. A band
+cuts the feature domain by hash into groups, and each group into ``n2`` parts. Of two sets that differ
+in at most k features, one of the first k div (k2 + 1) + 1 groups has at most ``k2`` differences,
+so ``n2 - k2`` of its parts are the same: a set signs every subset of so many parts of
+those groups. The groups that a set signs follow from its own size, the parts from its band alone.
+
+``SCHEMES`` lists (k2, n2), each more selective than the last. All sets sign by the first. In a
+bucket all sets are first compared with its least one, so a large group of near copies costs a link each; then,
+as long as that helps, with one of those outside the bucket's largest component. What is still apart is compared one by
+one in buckets with at most ``APART`` sets outside the largest component. The sets of other buckets, which unrelated
+sets with a common passage make, sign by the next scheme, which is complete for them by itself; after the last scheme all are
+compared. No link is lost, and nothing is capped.
+
+A task sends its signatures packed, a row a bucket of signatures, with sets that share a signature in the
+task as followers of the least one: a common signature sends an entry a task to its bucket, and the followers are dealt by
+their own hashes. Pairs pass parities in proportion to the sets (a lower bound of the difference) inside the join, before texts
+are fetched to verify them.
+
+A class is known by 128 bits of its set. Words are lower-cased in A-Z only. Nulls: a null text has no words,
+and such documents link with nothing; a null doc_id stays null and is no component's id unless all
+of its component are null. Rows with equal sets are one class, repeated rows included. Very long texts are one set
+like others. Empty table: empty result. Extra columns pass through ``one_of_each``, which keeps one row of a component: that of
+the least doc_id (null after all others), of these that of the least hash of the text, of identical rows any one.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import broadcast_bounded, discard, hot_join, let, stored, text_of
 from .links import components
 
 SHINGLE = 5
+#: (k2, n2) of the first signatures and of those for sets that stay apart in crowded buckets.
+SCHEMES = [(1, 3), (2, 5), (3, 7)]
+#: Sets outside a bucket's largest component that are compared with all of the bucket at once.
+APART = 64
 #: Signed sets are gathered until they have so many features.
 CHUNK = 1_000_000
-#: Up to so many candidate classes are broadcast to fetch their texts; beyond, texts are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Features of all sets for one packed bucket of signatures.
+BUCKET = 2_000_000
 U = np.uint64
 
 
@@ -68,34 +79,34 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(out)
 
 
-def set_hashes(f: np.ndarray) -> tuple[int, int]:
-    if not len(f):
-        return 0, 0
-    a, b = (np.add.reduce(mixed(f, s)).astype(np.int64) for s in (101, 102))
-    return int(a), int(b)
+def node_of(f: np.ndarray) -> bytes:
+    """The class: 128 bits of the set."""
+    return b"".join(np.add.reduce(mixed(f, s)).tobytes() for s in (101, 102)) if len(f) else bytes(16)
 
 
-def parity(f: np.ndarray, bits: int) -> list[int]:
-    """Parities of features; two sets differ in at least as many features as parities."""
-    at = mixed(f, 103) & U(bits - 1)
-    odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
+def parities(f: np.ndarray) -> list[int]:
+    """Parities in two to four bits a feature, 256 at least; two sets differ in at least as many features as parities."""
+    bits = max(256, 1 << (2 * len(f) - 1).bit_length())
+    odd = np.bincount((mixed(f, 103) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def odd_bits(f: np.ndarray) -> bytes:
-    """Parities in four to eight bits a feature, 1024 at least."""
-    bits = max(1024, 1 << (4 * len(f) - 1).bit_length())
-    return np.array(parity(f, bits), np.int64).tobytes()
+def fewest_differences(x: Column, y: Column) -> Column:
+    """A lower bound of the difference of two sets from their parities; the longer ones, of twice the length, are folded."""
 
+    def fold(a: Column, n: Column) -> Column:
+        half = lambda a: F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(a) > n, half(a)).otherwise(a)
 
-def fewest_differences(x: bytes, y: bytes) -> int:
-    """A lower bound of the difference of two sets from their parities; the longer ones are folded."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(a) != len(b):
-        if len(a) < len(b):
-            a, b = b, a
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+    least = F.least(F.size(x), F.size(y))
+    odd = F.zip_with(fold(x, least), fold(y, least), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(odd, F.lit(0), lambda s, v: s + v)
+
+
+def may_link(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
+    """Whether sizes and parities leave a link open. Sizes that pass differ by a third at most, so lengths by a factor of two."""
+    size = (4 * na >= 3 * nb) & (4 * nb >= 3 * na)
+    return F.when(size, 7 * fewest_differences(pa_, pb) <= na + nb).otherwise(F.lit(False))
 
 
 def bands(most: int) -> list[int]:
@@ -106,103 +117,135 @@ def bands(most: int) -> list[int]:
     return out
 
 
-def parts_of(largest: int) -> int:
-    return math.ceil(0.32 * largest) + 2
-
-
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], scheme: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(signature, index of the set) of sets of 3 features or more."""
+    k2, n2 = SCHEMES[scheme]
+    subsets = list(itertools.combinations(range(n2), n2 - k2))
     sizes = np.array([len(f) for f in sets], np.int64)
     ends = np.array(bands(int(sizes.max()) * 4 // 3))
     own = np.searchsorted(ends, sizes)
     reach = sizes * 4 // 3  # of partners
-    sigs, of = [], []
     feats = np.concatenate(sets)
+    sigs, of = [], []
     for up in (0, 1):
         take = np.flatnonzero(reach > ends[own]) if up else np.arange(len(sets))
         if not len(take):
             continue
         x = np.concatenate([sets[i] for i in take]) if up else feats
         n, band = sizes[take], own[take] + up
-        k = (n + (reach[take] if up else np.minimum(reach[take], ends[band]))) // 7
-        row = np.repeat(np.arange(len(take)), n)
-        count = np.array([parts_of(int(e)) for e in ends])[band]
-        part = (mixed(x, 104) % np.repeat(count, n).astype(U)).astype(np.int64)
-        # features by (set, part)
-        key = row * int(count.max()) + part
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        total = np.add.reduceat(mixed(x, 105)[order], first)
-        r, p = row[order][first], part[order][first]
-        # the rank of a non-empty part in its set
-        start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        rank = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
-        keep = rank <= k[r]
-        place = (band[r] * (1 << 40) + p).astype(U)
-        sigs.append(mixed(total + mixed(place, 106), 107)[keep])
-        of.append(take[r[keep]])
-        filled = np.bincount(r, minlength=len(take))
-        for i in np.flatnonzero(filled <= k):
-            f = sets[take[i]]
-            f = np.sort(mixed(f, 108))[: len(f) - (3 * len(f) + 3) // 4 + 1]
-            sigs.append(f)
-            of.append(np.full(len(f), take[i]))
+        k = (n + np.minimum(reach[take], ends[band])) // 7
+        signed = k // (k2 + 1) + 1
+        count = (2 * ends // 7) // (k2 + 1) + 1  # groups of a band
+        width = count[band] * n2
+        base = np.cumsum(width) - width
+        part = (mixed(x, 104 + 8 * scheme) % np.repeat(width, n).astype(U)).astype(np.int64)
+        sums = np.zeros(int(width.sum()), U)
+        np.add.at(sums, np.repeat(base, n) + part, mixed(x, 105))
+        row = np.repeat(np.arange(len(take)), signed)
+        group = np.arange(len(row)) - np.repeat(np.cumsum(signed) - signed, signed)
+        at = base[row] + group * n2
+        parts = [mixed(sums[at + j], 200 + j) for j in range(n2)]
+        place = mixed((band[row] * (1 << 40) + group).astype(U), 106 + 8 * scheme)
+        for i, s in enumerate(subsets):
+            sigs.append(mixed(sum((parts[j] for j in s), place), 300 + i))
+            of.append(take[row])
     return np.concatenate(sigs), np.concatenate(of)
 
 
-def _long(column: pd.Series) -> list:
-    return [None if pd.isna(v) else int(v) for v in column]
+def _planes(a: np.ndarray) -> bytes:
+    """Bytes by their place in the numbers, which compresses well."""
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def _numbers(b: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _binary(a: np.ndarray) -> pa.Array:
+    """16 bytes a row of an array of shape (n, 2)."""
+    data = np.ascontiguousarray(a)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(a), [None, pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+def _list_column(rows: list[list[int]]) -> pa.Array:
+    ends = np.cumsum([0] + [len(r) for r in rows]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(list(itertools.chain.from_iterable(rows)), pa.int64()))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, other, p0..p3, wide) per row, stored: the size of its set, two hashes of it, 256 and 1024 parities."""
+    """(doc_id, copy, n, node, odd) per row, stored: a hash of its text, the size of its set, its class and parities."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, text in zip(_long(pdf["doc_id"]), pdf["text"], strict=True):
-                f = shingles(text)
-                rows.append((doc, len(f), *set_hashes(f), *parity(f, 256), parity(f, 1024)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "node", "other", "p0", "p1", "p2", "p3", "wide"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            columns = [
+                batch.column("doc_id"),
+                batch.column("copy"),
+                pa.array([len(f) for f in sets], pa.int64()),
+                pa.array([node_of(f) for f in sets], pa.binary()),
+                _list_column([parities(f) for f in sets]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "n", "node", "odd"])
 
-    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs["text"]).alias("text"))
-    return stored(d.mapInPandas(run, "doc_id long, n long, node long, other long, p0 long, p1 long, p2 long, p3 long, wide array<long>"), "jaccard-classes")
+    text = text_of(docs["text"])
+    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("copy"), text.alias("text"))
+    return stored(d.mapInArrow(run, "doc_id long, copy binary, n long, node binary, odd array<long>"), "jaccard-classes")
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """(sig, node, center): one row a signature and set, batch by batch.
+def packed(texts: DataFrame, scheme: int, n_buckets: int) -> DataFrame:
+    """(bucket, sigs, at, fsigs, fat, fcenter, nodes): signatures of a task's sets in one bucket of signatures.
 
-    Of a batch's sets with one signature the least is the main row and the center of the others. A center that is
-    null stands for a set alone in its batch.
+    ``at`` is a set's place in ``nodes``, doubled, and odd if it has followers; the f-columns are the followers'.
     """
-
-    def rows(sets: list[np.ndarray], nodes: list[int]) -> pd.DataFrame:
-        sig, of = signatures(sets)
-        node = np.array(nodes, np.int64)[of]
-        sig = sig.view(np.int64)
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
-        sig, node = sig[new], node[new]
-        at = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    names = ["bucket", "sigs", "at", "fsigs", "fat", "fcenter", "nodes"]
+
+    def rows(sets: list[np.ndarray], nodes: list[bytes]) -> pa.RecordBatch:
+        sig, of = signatures(sets, scheme)
+        order = np.lexsort((of, sig))
+        sig, of = sig[order], of[order]
+        first = np.r_[True, sig[1:] != sig[:-1]]
+        at = np.flatnonzero(first)
         size = np.diff(np.r_[at, len(sig)])
-        center = pd.array(np.repeat(node[at], size), dtype="Int64")
-        center[np.repeat(size, size) == 1] = pd.NA
-        return pd.DataFrame({"sig": sig, "node": node, "center": center})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        center = np.repeat(of[at], size)
+        table = np.frombuffer(b"".join(nodes), U).reshape(-1, 2)
+        bucket = lambda h: ((h >> U(32)) * U(n_buckets)) >> U(32)
+        main = (sig[first], of[first] * 2 + (size > 1))
+        fsig, fof, fcenter = sig[~first], of[~first], center[~first]
+        fb = bucket(mixed(fsig ^ table[fof, 0], 400))
+        order = np.argsort(fb, kind="stable")
+        fsig, fof, fcenter, fb = fsig[order], fof[order], fcenter[order], fb[order]
+        cut = np.searchsorted(bucket(main[0]), np.arange(n_buckets + 1, dtype=U))
+        fcut = np.searchsorted(fb, np.arange(n_buckets + 1, dtype=U))
+        out: list[tuple] = []
+        for b in np.flatnonzero((np.diff(cut) > 0) | (np.diff(fcut) > 0)):
+            m, f = slice(cut[b], cut[b + 1]), slice(fcut[b], fcut[b + 1])
+            used = np.unique(np.concatenate([main[1][m] >> 1, fof[f], fcenter[f]]))
+            local = lambda i: np.searchsorted(used, i)  # noqa: E731, B023
+            s = main[0][m]
+            out.append((
+                int(b),
+                _planes(np.diff(s, prepend=U(0))),
+                _planes((local(main[1][m] >> 1) * 2 + (main[1][m] & 1)).astype(np.uint32)),
+                _planes(fsig[f]),
+                _planes(local(fof[f]).astype(np.uint32)),
+                _planes(local(fcenter[f]).astype(np.uint32)),
+                table[used].tobytes(),
+            ))
+        kinds = [pa.int32()] + [pa.binary()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
-        nodes: list[int] = []
-        seen: set[int] = set()
+        nodes: list[bytes] = []
+        seen: set[bytes] = set()
         held = 0
-        for pdf in batches:
-            for text in pdf["text"]:
-                f = shingles(text)
+        for batch in batches:
+            for t in batch.column("text"):
+                f = shingles(t.as_py())
                 if len(f) < 3:  # links with equal sets only
                     continue
-                node = set_hashes(f)[0]
+                node = node_of(f)
                 if node in seen:
                     continue
                 seen.add(node)
@@ -217,129 +260,199 @@ def signed(docs: DataFrame) -> DataFrame:
         if sets:
             yield rows(sets, nodes)
 
-    d = docs.select(text_of(docs["text"]).alias("text"))
-    return d.mapInPandas(run, "sig long, node long, center long")
-
-
-def buckets(docs: DataFrame) -> DataFrame:
-    """(sig, node, center) of signatures that two sets or more have, stored."""
-    s = signed(docs)
-    follows = F.coalesce(F.col("center") != F.col("node"), F.lit(False))
-    salt = F.when(follows, F.col("node")).otherwise(F.lit(0).cast("long"))
-    w = Window.partitionBy("sig", salt)
-    s = s.select("*", F.min("node").over(w).alias("least"), F.max("node").over(w).alias("most"))
-    s = s.where("center IS NOT NULL OR least <> most")
-    return stored(s.select("sig", "node", F.when(follows, F.col("center")).otherwise(F.col("least")).alias("center")), "jaccard-buckets")
-
-
-def possible(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and parities allow a link, stored: first few parities of all, then many of those left."""
-    cols = ["node", "n", "p0", "p1", "p2", "p3"]
-    left = sketch.select(*[F.col(c).alias(f"{c}_a") for c in cols])
-    right = sketch.select(*[F.col(c).alias(f"{c}_b") for c in cols])
-    x = pairs.join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b"))
-    least = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(4)), F.lit(0))
-    size = (4 * F.col("n_a") >= 3 * F.col("n_b")) & (4 * F.col("n_b") >= 3 * F.col("n_a"))
-    x = x.where(size & (7 * least <= F.col("n_a") + F.col("n_b"))).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"))
-    left, right = (sketch.select(F.col("node").alias(c), F.col("wide").alias(f"w_{c}")) for c in "ab")
-    x = x.join(left, "a").join(right, "b")
-    odd = F.zip_with("w_a", "w_b", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
-    return stored(x.where(7 * F.aggregate(odd, F.lit(0), lambda s, v: s + v) <= F.col("n")).select("a", "b"), "jaccard-pairs")
-
-
-def texts_of(docs: DataFrame, cls: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, n, odd, text) of the classes in ``pairs``, stored; one document of a class is read. A text is smaller than its features."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    reps = cls.join(need, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    reps = stored(reps, "jaccard-needed")
-    ids = reps.select(F.col("doc_id").alias("id")).distinct()
-    if reps.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for t in pdf["text"]:
-                f = shingles(t)
-                rows.append((set_hashes(f)[0], len(f), odd_bits(f), t))
-            yield pd.DataFrame(rows, columns=["node", "n", "odd", "text"])
-
-    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs["text"]).alias("text"))
-    d = d.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-    nodes = reps.select(F.col("node").alias("needed"))
-    if reps.count() <= BROADCAST_ROWS:
-        nodes = F.broadcast(nodes)
-    found = d.mapInPandas(run, "node long, n long, odd binary, text string").join(nodes, F.col("node") == F.col("needed"), "left_semi")
-    # rows that share a doc_id may give a class twice; equal sets make either text right
-    return stored(found, "jaccard-texts").dropDuplicates(["node"])
-
-
-def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    return texts.mapInArrow(run, "bucket int, sigs binary, at binary, fsigs binary, fat binary, fcenter binary, nodes binary")
+
+
+def buckets(texts: DataFrame, scheme: int, features: int) -> DataFrame:
+    """(sig, node, center) of signatures that two sets or more have, stored. A follower's center is the least set of its task."""
+    n = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(features / BUCKET))
+
+    def run(t: pa.Table) -> pa.Table:
+        sigs, flags, nodes, followers = [], [], [], []
+        for r in t.to_batches():
+            for sig, at, fsig, fat, fcenter, table in zip(*[r.column(c).to_pylist() for c in ("sigs", "at", "fsigs", "fat", "fcenter", "nodes")], strict=True):
+                table = np.frombuffer(table, U).reshape(-1, 2)
+                if sig:
+                    at = _numbers(at, np.uint32)
+                    sigs.append(np.cumsum(_numbers(sig, U), dtype=U))
+                    flags.append((at & 1).astype(bool))
+                    nodes.append(table[at >> 1])
+                if fsig:
+                    followers.append((_numbers(fsig, U), table[_numbers(fat, np.uint32)], table[_numbers(fcenter, np.uint32)]))
+        out = [([], [], [])]
+        if sigs:
+            sig, flag, node = np.concatenate(sigs), np.concatenate(flags), np.concatenate(nodes)
+            order = np.argsort(sig, kind="stable")
+            s = sig[order]
+            same = np.r_[False, s[1:] == s[:-1]]
+            keep = order[same | np.r_[same[1:], False] | flag[order]]
+            sig, flag, node = sig[keep], flag[keep], node[keep]
+            order = np.lexsort((node[:, 1], node[:, 0], sig))
+            sig, flag, node = sig[order], flag[order], node[order]
+            new_sig = np.r_[True, sig[1:] != sig[:-1]][: len(sig)]
+            new = new_sig | np.r_[True, (node[1:] != node[:-1]).any(axis=1)][: len(sig)]
+            # copies from other tasks fall together; a set alone stays only where a task has followers of it
+            followed = np.maximum.reduceat(flag, np.flatnonzero(new)) if len(sig) else flag
+            sig, node, new_sig = sig[new], node[new], new_sig[new]
+            at = np.flatnonzero(new_sig)
+            size = np.diff(np.r_[at, len(sig)])
+            center = np.repeat(node[at], size, axis=0)
+            keep = (np.repeat(size, size) > 1) | followed
+            out.append((sig[keep], node[keep], center[keep]))
+        out += followers
+        sig, node, center = (np.concatenate([np.asarray(o[i], U).reshape(-1, *([2] if i else [])) for o in out]) for i in range(3))
+        return pa.Table.from_arrays([pa.array(sig.view(np.int64)), _binary(node), _binary(center)], names=["sig", "node", "center"])
+
+    return stored(packed(texts, scheme, n).groupBy("bucket").applyInArrow(run, "sig long, node binary, center binary"), "jaccard-buckets")
+
+
+def likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and parities allow a link, stored."""
+    left, right = (sketch.select(F.col("node").alias(f"node_{s}"), F.col("n").alias(f"n_{s}"), F.col("odd").alias(f"odd_{s}")) for s in "ab")
+    x = pairs.join(left, F.col("a") == F.col("node_a"))
+    x = x.join(right, (F.col("b") == F.col("node_b")) & may_link(F.col("n_a"), F.col("odd_a"), F.col("n_b"), F.col("odd_b")))
+    return stored(x.select("a", "b"), "jaccard-likely")
+
+
+def texts_of(docs: DataFrame, cls: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the classes in ``nodes``, stored; one document of a class is read. A text is smaller than its features."""
+    need = nodes.select("node").distinct()
+    reps = cls.join(need, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "copy")).alias("r"))
+    reps = stored(reps.select("node", F.col("r.doc_id").alias("id"), F.col("r.copy").alias("c")), "jaccard-needed")
+    text = text_of(docs["text"])
+    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
+    d = d.withColumn("copy", F.unhex(F.md5("text")))
+    d = d.join(broadcast_bounded(reps), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("copy") == F.col("c"))).select("node", "text")
+    return stored(d.dropDuplicates(["node"]), "jaccard-texts")
+
+
+def linked(pairs: DataFrame, docs: DataFrame, cls: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of 0.75 or more, stored."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep, sets = [], {}
-            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
-                if len(sets) > 512:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            keep = []
+            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                if sum(map(len, sets.values())) > CHUNK:
                     sets.clear()
-                for node, text in ((a, x), (b, y)):
+                for node, column in ((a, "ta"), (b, "tb")):
                     if node not in sets:
-                        sets[node] = shingles(text)
+                        sets[node] = shingles(batch.column(column)[i].as_py())
                 f, g = sets[a], sets[b]
                 both = len(np.intersect1d(f, g, assume_unique=True))
                 keep.append(100 * both >= 75 * (len(f) + len(g) - both))
-            yield pdf.loc[keep, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def rule_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            least = [fewest_differences(x, y) for x, y in zip(pdf["odd_a"], pdf["odd_b"], strict=True)]
-            keep = 7 * np.array(least, np.int64) <= (pdf["n_a"] + pdf["n_b"]).to_numpy()
-            yield pdf.loc[keep, ["a", "b"]]
-
-    # parities in proportion to the sets, much smaller than the texts
-    odd_a, odd_b = (texts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
-    pairs = stored(pairs.join(odd_a, "a").join(odd_b, "b").mapInPandas(rule_out, "a long, b long"), "jaccard-likely")
+    texts = texts_of(docs, cls, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
     x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     x = x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return stored(x.mapInPandas(run, "a long, b long"), "jaccard-links")
+    x = stored(x.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"), "jaccard-links")
+    discard(texts)
+    return x
+
+
+def apart(b: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, node, c, main, rest) of signatures of which sets are in different components, stored.
+
+    ``main`` is the component with the most sets, ``rest`` the number of the others.
+    """
+    named = hot_join(b.select("sig", "node"), labels.select(F.col("id").alias("node"), "component"), "node")
+    named = named.select("sig", "node", F.coalesce("component", "node").alias("c"))
+    per = named.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("m"))
+    most = per.groupBy("sig").agg(F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("all")).where("most.m < all")
+    per_sig = most.select(F.col("sig").alias("s"), F.col("most.c").alias("main"), (F.col("all") - F.col("most.m")).alias("rest"))
+    return stored(named.join(per_sig, F.col("sig") == F.col("s")).select("sig", "node", "c", "main", "rest"), "jaccard-apart")
+
+
+def ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def one_by_one(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets outside a signature's largest component with all others of other components; parities are asked in the join."""
+    x = rows.join(sketch, "node")
+    i, j = x.where("c <> main").alias("i"), x.alias("j")
+    open_ = (F.col("i.sig") == F.col("j.sig")) & (F.col("i.c") != F.col("j.c")) & ((F.col("j.c") == F.col("j.main")) | (F.col("i.node") < F.col("j.node")))
+    open_ = open_ & may_link(F.col("i.n"), F.col("i.odd"), F.col("j.n"), F.col("j.odd"))
+    return i.join(j, open_).select(*ordered(F.col("i.node"), F.col("j.node"))).distinct()
+
+
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, (id, component) of the classes that link with another one)."""
+    cls = classes(docs)
+    sketch = stored(cls.where("n >= 3").groupBy("node").agg(F.first("n").alias("n"), F.first("odd").alias("odd")), "jaccard-sketches")
+    texts, n_features = docs.select(text_of(docs["text"]).alias("text")), cls.agg(F.sum("n")).first()[0] or 0
+    links: DataFrame | None = None
+    done: DataFrame | None = None
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """Verifies pairs that were not seen before; the components anew."""
+        nonlocal links, done
+        pairs = likely(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), sketch)
+        found = linked(pairs, docs, cls)
+        done = pairs if done is None else done.union(pairs)
+        links = found if links is None else links.union(found)
+        return components(links)
+
+    for scheme in range(len(SCHEMES)):
+        b = buckets(texts, scheme, n_features)
+        labels = compare(b.where("node <> center").select(*ordered(F.col("center"), F.col("node"))).distinct())
+        rows = apart(b, labels)
+        n, before = rows.count(), None
+        # another star a signature, as long as each leaves a fifth less apart
+        while n and (before is None or 5 * n <= 4 * before):
+            center = rows.where("c <> main").groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(n)).alias("h"), "node", "c")).alias("m"))
+            center = center.select(F.col("sig").alias("s"), F.col("m.node").alias("center"), F.col("m.c").alias("cc"))
+            star = rows.join(center, (F.col("sig") == F.col("s")) & (F.col("c") != F.col("cc")))
+            labels = compare(star.select(*ordered(F.col("center"), F.col("node"))).distinct())
+            left = apart(rows, labels)
+            discard(rows)
+            rows, before, n = left, n, left.count()
+        crowded = F.col("rest") > APART
+        last = scheme == len(SCHEMES) - 1
+        if n:
+            labels = compare(one_by_one(rows if last else rows.where(~crowded), sketch))
+        if last or not n or rows.where(crowded).isEmpty():
+            break
+        texts = texts_of(docs, cls, rows.where(crowded).select("node"))
+        n_features = sketch.join(texts.select("node"), "node", "left_semi").agg(F.sum("n")).first()[0] or 0
+        texts = texts.select("text")
+        discard(b, rows)
+    return cls, labels
+
+
+def components_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, copy, n, g, least) per row: its component, and the least doc_id of that."""
+    cls, labels = labelled(docs)
+    per = cls.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    per = per.join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
+    per = stored(per.select("node", "least", F.coalesce("component", "node").alias("g")), "jaccard-nodes")
+    least = per.groupBy("g").agg(F.min("least").alias("least"))
+    named = hot_join(per.select("node", "g"), least, "g")
+    return hot_join(cls.select("doc_id", "copy", "n", "node"), named, "node")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row."""
-    cls = classes(docs)
-    sketch = stored(cls.where("n >= 3").dropDuplicates(["node"]).select("node", "n", "p0", "p1", "p2", "p3", "wide"), "jaccard-sketches")
-    b = buckets(docs)
-    star = b.where("node <> center").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
-    star = possible(star, sketch)
-    links = linked(star, texts_of(docs, cls, star))
-    labels = components(links)
-
-    named = b.join(labels, b["node"] == labels["id"], "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
-    apart = named.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig")
-    named = stored(named.join(apart, "sig", "left_semi"), "jaccard-apart")
-    i, j = named.alias("i"), named.alias("j")
-    more = i.join(j, (F.col("i.sig") == F.col("j.sig")) & (F.col("i.node") < F.col("j.node")) & (F.col("i.c") != F.col("j.c")))
-    more = more.select(F.col("i.node").alias("a"), F.col("j.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = possible(more, sketch)
-    further = linked(more, texts_of(docs, cls, more))
-    labels = components(links.union(further))
-
-    x = cls.join(labels, cls["node"] == labels["id"], "left")
-    # the two hashes tell sets that are in no component
-    group = F.when(F.col("component").isNotNull(), F.struct(F.col("component"), F.lit(0).cast("long").alias("other")))
-    group = F.coalesce(group, F.struct(F.col("node").alias("component"), F.col("other")))
-    x = x.select("doc_id", F.col("n").alias("n_shingles"), group.alias("g"))
-    least = x.where("n_shingles > 0").groupBy("g").agg(F.min("doc_id").alias("least")).withColumnRenamed("g", "h")
-    x = x.join(least, (F.col("g") == F.col("h")) & (F.col("n_shingles") > 0), "left")
-    return x.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return components_of(docs).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without those that are linked, directly or not, with one of a smaller doc_id."""
-    gone = stored(groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "jaccard-gone")
+    """One row of each component, and all rows without words."""
+    x = stored(components_of(docs), "jaccard-rows")
+    key = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "copy")
+    keep = x.where("n > 0").groupBy("g").agg(F.min(key).alias("k")).select("g", F.col("k.doc_id").alias("d"), F.col("k.copy").alias("c"))
+    times = x.where("n > 0").groupBy("doc_id", "copy").agg(F.count(F.lit(1)).alias("times"))
+    keep = keep.join(times, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("c") == F.col("copy"))).select("d", "c", "times")
+    wordless = x.where("n = 0").select(F.col("doc_id").alias("d"), F.col("copy").alias("c")).distinct()
+    keep = stored(keep.union(wordless.withColumn("times", F.lit(1).cast("long"))), "jaccard-kept")
     d = docs.alias("d")
-    return d.join(gone, F.col("d.doc_id") == F.col("gone"), "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.d")) & (F.unhex(F.md5(text_of(F.col("d.text")))) == F.col("k.c"))
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    once = d.join(keep.where("times = 1").alias("k"), same, "left_semi").select(*columns)
+    again = d.join(keep.where("times > 1").alias("k"), same, "inner").dropDuplicates(["d", "c"]).select(*columns)
+    return once.unionAll(again)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -149,9 +149,55 @@ def test_jaccard_groups(spark, docs, none):
     assert ngram_jaccard.groups(none).count() == 0
 
 
-def test_one_of_each(docs):
-    ids = [r["doc_id"] for r in ngram_jaccard.one_of_each(docs).collect()]
-    assert 1 in ids and 2 not in ids and None in ids and ngram_jaccard.one_of_each(docs).columns == docs.columns
+def test_one_of_each(spark, docs):
+    big = 2**53 + 1
+    more = [(big, "x y z", "en", "s", 1), (None, "x y z", "en", "s", 1), (None, BASE, "en", "s", 1), (None, "q r s t u v", "en", "s", 1), (None, "q r s t u v", "en", "s", 1)]
+    out = ngram_jaccard.one_of_each(docs.drop("n", "id", "kept").union(spark.createDataFrame(more, SCHEMA)))
+    assert out.columns == docs.columns[:5]
+    got = sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=str)
+    wanted = [(1, BASE), (3, NEAR), (4, None), (5, ""), (6, "two words"), (7, LONG), DOCS[8][:2], DOCS[9][:2], DOCS[10][:2], (big, "x y z"), (None, "q r s t u v")]
+    assert got == sorted(wanted, key=str)
+
+
+def test_jaccard_schemes_are_each_complete(spark, monkeypatch):
+    """No set is left alone outside a largest component, so all that stay apart go through every scheme; small chunks make followers."""
+    import random
+
+    monkeypatch.setattr(ngram_jaccard, "APART", 0)
+    monkeypatch.setattr(ngram_jaccard, "CHUNK", 300)
+    random.seed(11)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        w = [f"u{random.randrange(10**6)}" for _ in range(random.choice((0, 6, 14, 19, 25, 60)))] + common
+        for _ in range(2):
+            v = list(w)
+            v[random.randrange(len(v))] = "new"
+            rows.append((len(rows), " ".join(v), "en", "s", 1))
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_jaccard.groups(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == jaccard(rows)
+
+
+def test_signatures_of_sets_within_the_bound_meet():
+    import random
+
+    import numpy as np
+
+    random.seed(2)
+    rng = np.random.default_rng(2)
+    for scheme in range(len(ngram_jaccard.SCHEMES)):
+        for _ in range(150):
+            x = random.randint(3, 200)
+            both = rng.integers(0, 2**63, x, dtype=np.uint64)
+            cut, add = 0, 0
+            while True:  # as many differences as a link allows
+                c, a = (cut + 1, add) if random.random() < 0.5 else (cut, add + 1)
+                if 100 * (x - c) < 75 * (x + a) or x - c < 3:
+                    break
+                cut, add = c, a
+            f, g = both, np.concatenate([both[cut:], rng.integers(0, 2**63, add, dtype=np.uint64)])
+            sig, of = ngram_jaccard.signatures([f, g], scheme)
+            assert set(sig[of == 0]) & set(sig[of == 1]), (scheme, x, cut, add)
 
 
 def test_components_of_a_path(spark):
