@@ -1,8 +1,10 @@
-"""Connected components of links, distributed (native)."""
+"""Links between the nodes of buckets, and their connected components, distributed (native)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, hot_join, stored
@@ -30,4 +32,92 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         discard(labels)
         labels = step.select("id", "label")
         if step.where("label <> old").isEmpty():
+            discard(both)
             return labels.select("id", F.col("label").alias("component"))
+
+
+def ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def apart(b: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, side, c, main, rest) of buckets of which nodes are in different components, stored.
+
+    ``main`` is the component with the most rows, ``rest`` the number of the other rows.
+    """
+    named = hot_join(b.select("key", "node", "side"), labels.select(F.col("id").alias("node"), "component"), "node")
+    named = named.select("key", "node", "side", F.coalesce("component", "node").alias("c"))
+    per = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    most = per.groupBy("key").agg(F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("all")).where("most.m < all")
+    per_key = most.select(F.col("key").alias("k"), F.col("most.c").alias("main"), (F.col("all") - F.col("most.m")).alias("rest"))
+    return stored(named.join(per_key, F.col("key") == F.col("k")).select("key", "node", "side", "c", "main", "rest"), "apart")
+
+
+def one_by_one(rows: DataFrame, sketch: DataFrame, may: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs (a, b) of nodes outside a bucket's largest component with all others of other components, as far as ``may`` allows inside the join."""
+    x = rows.join(sketch, "node")
+    i, j = x.where("c <> main").alias("i"), x.alias("j")
+    on = (F.col("i.key") == F.col("j.key")) & (F.col("i.c") != F.col("j.c")) & ((F.col("j.c") == F.col("j.main")) | (F.col("i.node") < F.col("j.node")))
+    sides = (F.col("i.side") != F.col("j.side")) | (F.col("i.side") > 1)
+    return i.join(j, on & sides & may("i", "j")).select(*ordered(F.col("i.node"), F.col("j.node"))).distinct()
+
+
+def likely(pairs: DataFrame, sketch: DataFrame, may: Callable[[str, str], Column]) -> DataFrame:
+    """The pairs (a, b) that ``may`` leaves open, asked inside a join with both sketches; stored."""
+    x = pairs.join(sketch.withColumnRenamed("node", "node_i"), F.col("a") == F.col("node_i")).select("a", "b", F.struct(*sketch.columns[1:]).alias("i"))
+    y = sketch.select(F.col("node").alias("node_j"), F.struct(*sketch.columns[1:]).alias("j"))
+    return stored(x.join(y, (F.col("b") == F.col("node_j")) & may("i", "j")).select("a", "b"), "likely")
+
+
+def linked_classes(
+    schemes: list[Callable[[DataFrame | None], DataFrame]], sketch: DataFrame, may: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], most_apart: int
+) -> DataFrame:
+    """(id, component) of the nodes that link with another one; no link of a bucket is lost.
+
+    A scheme makes (key, node, center, side), stored: the nodes of buckets with two or more, and one to compare each with. Each scheme is
+    complete: linked nodes share a bucket (with different sides, or sides above 1). The first is asked for all nodes, a later, more selective
+    one, for the nodes (node) of buckets that stay crowded. ``sketch`` is (node, ...), ``may(i, j)`` a
+    condition on two of its rows that no link fails, ``verify`` gives the pairs (a, b) that are links, stored.
+
+    First all are compared with their centers, so a large group of copies costs a link each; then, as long as that leaves a fifth
+    less apart, with one node outside the bucket's largest component. What is still apart is compared one by one in buckets with
+    at most ``most_apart`` rows outside the largest component; the others' nodes go to the next scheme, and after the last one all are compared.
+    """
+    links: DataFrame | None = None
+    done: DataFrame | None = None
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """Verifies pairs that were not seen before; the components anew."""
+        nonlocal links, done
+        pairs = likely(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), sketch, may)
+        found = verify(pairs)
+        done = pairs if done is None else done.union(pairs)
+        links = found if links is None else links.union(found)
+        return components(links)
+
+    crowded = None
+    for scheme in schemes:
+        b = scheme(crowded)
+        labels = compare(b.where("node <> center").select(*ordered(F.col("center"), F.col("node"))).distinct())
+        rows = apart(b, labels)
+        n, before = rows.count(), None
+        while n and (before is None or 5 * n <= 4 * before):
+            center = rows.where("c <> main").groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(n)).alias("h"), "node", "c")).alias("m"))
+            center = center.select(F.col("key").alias("k"), F.col("m.node").alias("center"), F.col("m.c").alias("cc"))
+            star = rows.join(center, (F.col("key") == F.col("k")) & (F.col("c") != F.col("cc")))
+            labels = compare(star.select(*ordered(F.col("center"), F.col("node"))).distinct())
+            left = apart(rows, labels)
+            discard(rows)
+            rows, before, n = left, n, left.count()
+        discard(b)
+        if not n:
+            break
+        many = F.col("rest") > most_apart
+        last = scheme is schemes[-1]
+        labels = compare(one_by_one(rows if last else rows.where(~many), sketch, may))
+        if last or rows.where(many).isEmpty():
+            discard(rows)
+            break
+        crowded = stored(rows.where(many).select("node").distinct(), "crowded")
+        discard(rows)
+    return labels

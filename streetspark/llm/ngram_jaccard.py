@@ -8,15 +8,17 @@ Equal sets are one class, so copies cost nothing further. Sizes are cut into
 bands, each 16/9 times as wide as the last; a pair meets in the band of its larger
 set, so a set signs for its own band and, if a partner may be in it, the next. A band
 cuts the feature domain by hash into groups, and each group into ``n2`` parts. Of two sets that differ
-in at most k features, one of the first k div (k2 + 1) + 1 groups has at most ``k2`` differences,
+in at most k features, one of k div (k2 + 1) + 1 groups has at most ``k2`` differences,
 so ``n2 - k2`` of its parts are the same: a set signs every subset of so many parts of
-those groups. The groups that a set signs follow from its own size, the parts from its band alone.
+its groups (``signatures`` says which). The groups that a set signs follow from its own size, the parts from its band alone. Sets differ in no more
+features of a smaller domain, so frequent features, those of passages that many documents share, are
+left out of the first scheme's domain.
 
 ``SCHEMES`` lists (k2, n2), each more selective than the last. All sets sign by the first. In a
 bucket all sets are first compared with its least one, so a large group of near copies costs a link each; then,
 as long as that helps, with one of those outside the bucket's largest component. What is still apart is compared one by
-one in buckets with at most ``APART`` sets outside the largest component. The sets of other buckets, which unrelated
-sets with a common passage make, sign by the next scheme, which is complete for them by itself; after the last scheme all are
+one in buckets with at most ``APART`` sets outside the largest component (``links.linked_classes``). The sets of other buckets
+sign by the next scheme, which is complete for them by itself; after the last scheme all are
 compared. No link is lost, and nothing is capped.
 
 A task sends its signatures packed, a row a bucket of signatures, with sets that share a signature in the
@@ -36,6 +38,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +46,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_bounded, discard, hot_join, let, stored, text_of
-from .links import components
+from .common import broadcast_bounded, discard, hot_join, stored, text_of
+from .links import linked_classes
 
 SHINGLE = 5
 #: (k2, n2) of the first signatures and of those for sets that stay apart in crowded buckets.
@@ -55,6 +58,13 @@ APART = 64
 CHUNK = 1_000_000
 #: Features of all sets for one packed bucket of signatures.
 BUCKET = 2_000_000
+#: A SAMPLE-th of the sets tells which features are hot: in HOT_TIMES sets of it or more, HOT_FEATURES of them at most.
+SAMPLE = 16
+HOT_TIMES = 3
+HOT_FEATURES = 1 << 18
+LEAST = 4
+#: Any two sets of a bucket may be compared.
+SIDE = 2
 U = np.uint64
 
 
@@ -117,38 +127,61 @@ def bands(most: int) -> list[int]:
     return out
 
 
-def signatures(sets: list[np.ndarray], scheme: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of the set) of sets of 3 features or more."""
+def signatures(sets: list[np.ndarray], scheme: int = 0, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, index of the set) of sets of 3 features or more; ``hot`` features (sorted) are left out of the domain.
+
+    A group is good for a set if more than k2 of its parts are not empty. A set signs, up to its last needed good group, all groups, by their
+    subsets that are not empty. Of the first k div (k2 + 1) + 1 groups that are good for either set of a pair, one has at most k2 differences,
+    so a part that is not empty is the same, and both sign a subset with it. A set with too few good groups also signs the prefix of its
+    features, hot ones last: two such sets share one of these.
+    """
     k2, n2 = SCHEMES[scheme]
     subsets = list(itertools.combinations(range(n2), n2 - k2))
     sizes = np.array([len(f) for f in sets], np.int64)
     ends = np.array(bands(int(sizes.max()) * 4 // 3))
     own = np.searchsorted(ends, sizes)
     reach = sizes * 4 // 3  # of partners
-    feats = np.concatenate(sets)
+    feats, of_feat = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    common = np.zeros(len(feats), bool)
+    if hot is not None and len(hot):
+        common = hot[np.minimum(np.searchsorted(hot, feats), len(hot) - 1)] == feats
+    rare, of_rare = feats[~common], of_feat[~common]
+    value = mixed(rare, 105)
+    poor = np.zeros(len(sets), bool)
     sigs, of = [], []
     for up in (0, 1):
-        take = np.flatnonzero(reach > ends[own]) if up else np.arange(len(sets))
-        if not len(take):
-            continue
-        x = np.concatenate([sets[i] for i in take]) if up else feats
-        n, band = sizes[take], own[take] + up
-        k = (n + np.minimum(reach[take], ends[band])) // 7
-        signed = k // (k2 + 1) + 1
-        count = (2 * ends // 7) // (k2 + 1) + 1  # groups of a band
-        width = count[band] * n2
-        base = np.cumsum(width) - width
-        part = (mixed(x, 104 + 8 * scheme) % np.repeat(width, n).astype(U)).astype(np.int64)
-        sums = np.zeros(int(width.sum()), U)
-        np.add.at(sums, np.repeat(base, n) + part, mixed(x, 105))
-        row = np.repeat(np.arange(len(take)), signed)
-        group = np.arange(len(row)) - np.repeat(np.cumsum(signed) - signed, signed)
-        at = base[row] + group * n2
-        parts = [mixed(sums[at + j], 200 + j) for j in range(n2)]
-        place = mixed((band[row] * (1 << 40) + group).astype(U), 106 + 8 * scheme)
+        take = reach > ends[own] if up else np.ones(len(sets), bool)
+        band = own + up
+        signs = (sizes + np.minimum(reach, ends[np.minimum(band, len(ends) - 1)])) // 7 // (k2 + 1) + 1
+        groups = np.where(take, np.ceil(0.36 * ends[np.minimum(band, len(ends) - 1)] / (k2 + 1)).astype(np.int64) + 1, 0)
+        base = np.cumsum(groups) - groups
+        mine = take[of_rare]
+        x, row = rare[mine], of_rare[mine]
+        part = (mixed(x, 104 + 8 * scheme) % (groups[row] * n2).astype(U)).astype(np.int64) + base[row] * n2
+        sums = np.zeros(int(groups.sum()) * n2, U)
+        np.add.at(sums, part, value[mine])
+        filled = (np.bincount(part, minlength=len(sums)) > 0).reshape(-1, n2)
+        n_filled = filled.sum(axis=1)
+        good = n_filled > k2
+        of_group = np.repeat(np.arange(len(sets)), groups)
+        so_far = np.cumsum(good)
+        start = np.r_[0, so_far][base]
+        poor |= take & (np.r_[0, so_far][base + groups] - start < signs)
+        at = np.flatnonzero((so_far - good - start[of_group] < signs[of_group]) & (n_filled > 0))
+        owner = of_group[at]
+        place = mixed((band[owner] * (1 << 40) + at - base[owner]).astype(U), 106 + 8 * scheme)
+        parts = [mixed(sums[at * n2 + j], 200 + j) for j in range(n2)]
         for i, s in enumerate(subsets):
-            sigs.append(mixed(sum((parts[j] for j in s), place), 300 + i))
-            of.append(take[row])
+            keep = filled[at][:, list(s)].any(axis=1)
+            sigs.append(mixed(sum((parts[j] for j in s), place), 300 + i)[keep])
+            of.append(owner[keep])
+    ends_of = np.cumsum(sizes)
+    for i in np.flatnonzero(poor):
+        at = slice(ends_of[i] - sizes[i], ends_of[i])
+        f = mixed(feats[at], 108)
+        f = f[np.lexsort((f, common[at]))][: sizes[i] - (3 * sizes[i] + 3) // 4 + 1]
+        sigs.append(f)
+        of.append(np.full(len(f), i))
     return np.concatenate(sigs), np.concatenate(of)
 
 
@@ -174,26 +207,42 @@ def _list_column(rows: list[list[int]]) -> pa.Array:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, n, node, odd) per row, stored: a hash of its text, the size of its set, its class and parities."""
+    """(doc_id, copy, n, node, odd, sample) per row, stored: a hash of its text, the size of its set, its class, parities, and the features of a SAMPLE-th of the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            nodes = [node_of(f) for f in sets]
             columns = [
                 batch.column("doc_id"),
                 batch.column("copy"),
                 pa.array([len(f) for f in sets], pa.int64()),
-                pa.array([node_of(f) for f in sets], pa.binary()),
+                pa.array(nodes, pa.binary()),
                 _list_column([parities(f) for f in sets]),
+                _list_column([f.view(np.int64).tolist() if node[0] % SAMPLE == 0 else [] for f, node in zip(sets, nodes, strict=True)]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "n", "node", "odd"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "n", "node", "odd", "sample"])
 
     text = text_of(docs["text"])
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("copy"), text.alias("text"))
-    return stored(d.mapInArrow(run, "doc_id long, copy binary, n long, node binary, odd array<long>"), "jaccard-classes")
+    return stored(d.mapInArrow(run, "doc_id long, copy binary, n long, node binary, odd array<long>, sample array<long>"), "jaccard-classes")
+
 
+def hot_features(cls: DataFrame) -> np.ndarray:
+    """Features that HOT_TIMES sets or more of the sample have, the most frequent HOT_FEATURES at most, sorted.
+
+    Of sets that share one of their LEAST least features only the least counts, so that groups of near copies do not make their features hot. The
+    list decides which signatures are made, never which links are found.
+    """
+    s = cls.where(F.size("sample") > 0).groupBy("node").agg(F.first("sample").alias("sample"))
+    first = s.select("node", F.explode(F.slice("sample", 1, LEAST)).alias("f"))
+    alone = first.join(first.groupBy("f").agg(F.min("node").alias("least")), "f").groupBy("node").agg(F.bool_and(F.col("node") == F.col("least")).alias("alone"))
+    x = s.join(alone.where("alone").select("node"), "node", "left_semi").select(F.explode("sample").alias("f"))
+    top = x.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_TIMES).orderBy(F.col("n").desc(), "f").limit(HOT_FEATURES)
+    return np.sort(top.select("f").toArrow().column("f").to_numpy().astype(np.int64).view(U))
 
-def packed(texts: DataFrame, scheme: int, n_buckets: int) -> DataFrame:
+
+def packed(texts: DataFrame, scheme: int, n_buckets: int, hot: np.ndarray | None) -> DataFrame:
     """(bucket, sigs, at, fsigs, fat, fcenter, nodes): signatures of a task's sets in one bucket of signatures.
 
     ``at`` is a set's place in ``nodes``, doubled, and odd if it has followers; the f-columns are the followers'.
@@ -201,7 +250,7 @@ def packed(texts: DataFrame, scheme: int, n_buckets: int) -> DataFrame:
     names = ["bucket", "sigs", "at", "fsigs", "fat", "fcenter", "nodes"]
 
     def rows(sets: list[np.ndarray], nodes: list[bytes]) -> pa.RecordBatch:
-        sig, of = signatures(sets, scheme)
+        sig, of = signatures(sets, scheme, hot)
         order = np.lexsort((of, sig))
         sig, of = sig[order], of[order]
         first = np.r_[True, sig[1:] != sig[:-1]]
@@ -263,8 +312,8 @@ def packed(texts: DataFrame, scheme: int, n_buckets: int) -> DataFrame:
     return texts.mapInArrow(run, "bucket int, sigs binary, at binary, fsigs binary, fat binary, fcenter binary, nodes binary")
 
 
-def buckets(texts: DataFrame, scheme: int, features: int) -> DataFrame:
-    """(sig, node, center) of signatures that two sets or more have, stored. A follower's center is the least set of its task."""
+def buckets(texts: DataFrame, scheme: int, features: int, hot: np.ndarray | None = None) -> DataFrame:
+    """(key, node, center, side) of signatures that two sets or more have, stored. A follower's center is the least set of its task."""
     n = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(features / BUCKET))
 
     def run(t: pa.Table) -> pa.Table:
@@ -301,17 +350,10 @@ def buckets(texts: DataFrame, scheme: int, features: int) -> DataFrame:
             out.append((sig[keep], node[keep], center[keep]))
         out += followers
         sig, node, center = (np.concatenate([np.asarray(o[i], U).reshape(-1, *([2] if i else [])) for o in out]) for i in range(3))
-        return pa.Table.from_arrays([pa.array(sig.view(np.int64)), _binary(node), _binary(center)], names=["sig", "node", "center"])
-
-    return stored(packed(texts, scheme, n).groupBy("bucket").applyInArrow(run, "sig long, node binary, center binary"), "jaccard-buckets")
+        return pa.Table.from_arrays([pa.array(sig.view(np.int64)), _binary(node), _binary(center)], names=["key", "node", "center"])
 
-
-def likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and parities allow a link, stored."""
-    left, right = (sketch.select(F.col("node").alias(f"node_{s}"), F.col("n").alias(f"n_{s}"), F.col("odd").alias(f"odd_{s}")) for s in "ab")
-    x = pairs.join(left, F.col("a") == F.col("node_a"))
-    x = x.join(right, (F.col("b") == F.col("node_b")) & may_link(F.col("n_a"), F.col("odd_a"), F.col("n_b"), F.col("odd_b")))
-    return stored(x.select("a", "b"), "jaccard-likely")
+    found = packed(texts, scheme, n, hot).groupBy("bucket").applyInArrow(run, "key long, node binary, center binary")
+    return stored(found.withColumn("side", F.lit(SIDE)), "jaccard-buckets")
 
 
 def texts_of(docs: DataFrame, cls: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -352,74 +394,21 @@ def linked(pairs: DataFrame, docs: DataFrame, cls: DataFrame) -> DataFrame:
     return x
 
 
-def apart(b: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, node, c, main, rest) of signatures of which sets are in different components, stored.
-
-    ``main`` is the component with the most sets, ``rest`` the number of the others.
-    """
-    named = hot_join(b.select("sig", "node"), labels.select(F.col("id").alias("node"), "component"), "node")
-    named = named.select("sig", "node", F.coalesce("component", "node").alias("c"))
-    per = named.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("m"))
-    most = per.groupBy("sig").agg(F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("all")).where("most.m < all")
-    per_sig = most.select(F.col("sig").alias("s"), F.col("most.c").alias("main"), (F.col("all") - F.col("most.m")).alias("rest"))
-    return stored(named.join(per_sig, F.col("sig") == F.col("s")).select("sig", "node", "c", "main", "rest"), "jaccard-apart")
-
-
-def ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def one_by_one(rows: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets outside a signature's largest component with all others of other components; parities are asked in the join."""
-    x = rows.join(sketch, "node")
-    i, j = x.where("c <> main").alias("i"), x.alias("j")
-    open_ = (F.col("i.sig") == F.col("j.sig")) & (F.col("i.c") != F.col("j.c")) & ((F.col("j.c") == F.col("j.main")) | (F.col("i.node") < F.col("j.node")))
-    open_ = open_ & may_link(F.col("i.n"), F.col("i.odd"), F.col("j.n"), F.col("j.odd"))
-    return i.join(j, open_).select(*ordered(F.col("i.node"), F.col("j.node"))).distinct()
-
-
 def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, (id, component) of the classes that link with another one)."""
     cls = classes(docs)
     sketch = stored(cls.where("n >= 3").groupBy("node").agg(F.first("n").alias("n"), F.first("odd").alias("odd")), "jaccard-sketches")
-    texts, n_features = docs.select(text_of(docs["text"]).alias("text")), cls.agg(F.sum("n")).first()[0] or 0
-    links: DataFrame | None = None
-    done: DataFrame | None = None
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        """Verifies pairs that were not seen before; the components anew."""
-        nonlocal links, done
-        pairs = likely(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), sketch)
-        found = linked(pairs, docs, cls)
-        done = pairs if done is None else done.union(pairs)
-        links = found if links is None else links.union(found)
-        return components(links)
-
-    for scheme in range(len(SCHEMES)):
-        b = buckets(texts, scheme, n_features)
-        labels = compare(b.where("node <> center").select(*ordered(F.col("center"), F.col("node"))).distinct())
-        rows = apart(b, labels)
-        n, before = rows.count(), None
-        # another star a signature, as long as each leaves a fifth less apart
-        while n and (before is None or 5 * n <= 4 * before):
-            center = rows.where("c <> main").groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(n)).alias("h"), "node", "c")).alias("m"))
-            center = center.select(F.col("sig").alias("s"), F.col("m.node").alias("center"), F.col("m.c").alias("cc"))
-            star = rows.join(center, (F.col("sig") == F.col("s")) & (F.col("c") != F.col("cc")))
-            labels = compare(star.select(*ordered(F.col("center"), F.col("node"))).distinct())
-            left = apart(rows, labels)
-            discard(rows)
-            rows, before, n = left, n, left.count()
-        crowded = F.col("rest") > APART
-        last = scheme == len(SCHEMES) - 1
-        if n:
-            labels = compare(one_by_one(rows if last else rows.where(~crowded), sketch))
-        if last or not n or rows.where(crowded).isEmpty():
-            break
-        texts = texts_of(docs, cls, rows.where(crowded).select("node"))
-        n_features = sketch.join(texts.select("node"), "node", "left_semi").agg(F.sum("n")).first()[0] or 0
-        texts = texts.select("text")
-        discard(b, rows)
-    return cls, labels
+
+    def signed(scheme: int, crowded: DataFrame | None) -> DataFrame:
+        texts, sizes = docs.select(text_of(docs["text"]).alias("text")), cls
+        if crowded is not None:
+            texts, sizes = texts_of(docs, cls, crowded), sketch.join(crowded, "node", "left_semi")
+        features = sizes.agg(F.sum("n")).first()[0] or 0
+        return buckets(texts.select("text"), scheme, features, None if scheme else hot_features(cls))
+
+    may = lambda i, j: may_link(F.col(f"{i}.n"), F.col(f"{i}.odd"), F.col(f"{j}.n"), F.col(f"{j}.odd"))
+    schemes = [partial(signed, i) for i in range(len(SCHEMES))]
+    return cls, linked_classes(schemes, sketch, may, lambda pairs: linked(pairs, docs, cls), APART)
 
 
 def components_of(docs: DataFrame) -> DataFrame:
