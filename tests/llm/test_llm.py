@@ -80,21 +80,23 @@ def test_within_is_edit_distance(spark):
     random.seed(3)
     rows = [("", ""), ("", "ab"), ("abc", ""), ("abcdef", "bcdefg"), ("héllo😀", "hllo😀x")]
     for _ in range(400):
-        s = [random.choice("ab") for _ in range(random.randint(0, 60))]
+        s = [random.choice("ab ") for _ in range(random.randint(0, 60))]
         t = list(s)
         for _ in range(random.randint(0, 4)):
             k, i = random.randint(0, 2), random.randint(0, len(t))
-            t[i : i + (k > 0)] = random.choice("ab") if k < 2 else ""
+            t[i : i + (k > 0)] = random.choice("ab ") if k < 2 else ""
         rows.append(("".join(s), "".join(t)))
     df = spark.createDataFrame(rows, "a string, b string")
     tau = line_dedup.TAU
-    sk = F.bit_count(line_dedup.sketch(F.col("a")).bitwiseXOR(line_dedup.sketch(F.col("b"))))
+    side = lambda c: F.struct(F.length(c).alias("n"), F.size(line_dedup.words_of(F.col(c))).alias("m"), line_dedup.word_parities(line_dedup.words_of(F.col(c))).alias("p"))
+    flat = lambda c: F.struct(F.col(f"{c}.n").alias("n"), F.col(f"{c}.m").alias("m"), F.col(f"{c}.p.p0").alias("p0"), F.col(f"{c}.p.p1").alias("p1")).alias(c)
     keys = F.arrays_overlap(line_dedup.index_rows(F.col("a"), F.length("a")), line_dedup.probe_rows(F.col("b"), F.length("b")))
-    df = df.select("a", "b", line_dedup.within(F.col("a"), F.col("b")).alias("w"), (F.levenshtein("a", "b") <= tau).alias("e"), sk.alias("sk"), keys.alias("k"))
+    df = df.select("a", "b", line_dedup.within(F.col("a"), F.col("b")).alias("w"), (F.levenshtein("a", "b") <= tau).alias("e"), side("a").alias("i"), side("b").alias("j"), keys.alias("k"))
+    df = df.select("a", "b", "w", "e", "k", flat("i"), flat("j")).withColumn("may", line_dedup.may_link("i", "j"))
     for r in df.collect():
         assert r["w"] == r["e"]
         if r["e"] and len(r["a"]) > 6 and len(r["b"]) > 6:
-            assert r["sk"] <= 4 * tau
+            assert r["may"]
             if len(r["b"]) >= len(r["a"]):
                 assert r["k"]
 
@@ -196,7 +198,8 @@ def test_signatures_of_sets_within_the_bound_meet():
                     break
                 cut, add = c, a
             f, g = both, np.concatenate([both[cut:], rng.integers(0, 2**63, add, dtype=np.uint64)])
-            sig, of = ngram_jaccard.signatures([f, g], scheme)
+            hot = np.sort(rng.choice(np.union1d(f, g), random.randint(0, x // 2), replace=False)) if random.random() < 0.5 else None
+            sig, of = ngram_jaccard.signatures([f, g], scheme, hot)
             assert set(sig[of == 0]) & set(sig[of == 1]), (scheme, x, cut, add)
 
 
