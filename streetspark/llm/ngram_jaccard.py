@@ -58,10 +58,10 @@ APART = 64
 CHUNK = 1_000_000
 #: Features of all sets for one packed bucket of signatures.
 BUCKET = 2_000_000
-#: A SAMPLE-th of the sets tells which features are hot: in HOT_TIMES sets of it or more, HOT_FEATURES of them at most.
-SAMPLE = 16
-HOT_TIMES = 3
-HOT_FEATURES = 1 << 18
+#: A SAMPLE-th of the sets tells which features are hot: in HOT_TIMES sets of it or more, marked in HOT_BITS bits (8 MB), whatever their number.
+SAMPLE = 8
+HOT_TIMES = 2
+HOT_BITS = 1 << 26
 LEAST = 4
 #: Any two sets of a bucket may be compared.
 SIDE = 2
@@ -128,7 +128,7 @@ def bands(most: int) -> list[int]:
 
 
 def signatures(sets: list[np.ndarray], scheme: int = 0, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of the set) of sets of 3 features or more; ``hot`` features (sorted) are left out of the domain.
+    """(signature, index of the set) of sets of 3 features or more; ``hot`` features (bits by ``hot_places``) are left out of the domain.
 
     A group is good for a set if more than k2 of its parts are not empty. A set signs, up to its last needed good group, all groups, by their
     subsets that are not empty. Of the first k div (k2 + 1) + 1 groups that are good for either set of a pair, one has at most k2 differences,
@@ -143,8 +143,9 @@ def signatures(sets: list[np.ndarray], scheme: int = 0, hot: np.ndarray | None =
     reach = sizes * 4 // 3  # of partners
     feats, of_feat = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     common = np.zeros(len(feats), bool)
-    if hot is not None and len(hot):
-        common = hot[np.minimum(np.searchsorted(hot, feats), len(hot) - 1)] == feats
+    if hot is not None:
+        at = hot_places(feats)
+        common = (hot[at >> 6] >> (at & 63)) & 1 == 1
     rare, of_rare = feats[~common], of_feat[~common]
     value = mixed(rare, 105)
     poor = np.zeros(len(sets), bool)
@@ -228,18 +229,31 @@ def classes(docs: DataFrame) -> DataFrame:
     return stored(d.mapInArrow(run, "doc_id long, copy binary, n long, node binary, odd array<long>, sample array<long>"), "jaccard-classes")
 
 
+def hot_places(f: np.ndarray) -> np.ndarray:
+    return (mixed(f, 109) & U(HOT_BITS - 1)).astype(np.int64)
+
+
 def hot_features(cls: DataFrame) -> np.ndarray:
-    """Features that HOT_TIMES sets or more of the sample have, the most frequent HOT_FEATURES at most, sorted.
+    """HOT_BITS bits, packed: those of the features that HOT_TIMES sets or more of the sample have.
 
     Of sets that share one of their LEAST least features only the least counts, so that groups of near copies do not make their features hot. The
-    list decides which signatures are made, never which links are found.
+    bits decide which signatures are made, never which links are found; a rare feature that falls on a set bit is left out as well.
     """
     s = cls.where(F.size("sample") > 0).groupBy("node").agg(F.first("sample").alias("sample"))
     first = s.select("node", F.explode(F.slice("sample", 1, LEAST)).alias("f"))
     alone = first.join(first.groupBy("f").agg(F.min("node").alias("least")), "f").groupBy("node").agg(F.bool_and(F.col("node") == F.col("least")).alias("alone"))
     x = s.join(alone.where("alone").select("node"), "node", "left_semi").select(F.explode("sample").alias("f"))
-    top = x.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_TIMES).orderBy(F.col("n").desc(), "f").limit(HOT_FEATURES)
-    return np.sort(top.select("f").toArrow().column("f").to_numpy().astype(np.int64).view(U))
+    top = x.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_TIMES).select("f")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(hot_places(batch.column("f").to_numpy(zero_copy_only=False).astype(np.int64).view(U)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((U(1) << (at & 63).astype(U)).view(np.int64))], names=["word", "bits"])
+
+    words = top.mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # HOT_BITS / 64 rows at most
+    out = np.zeros(HOT_BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
 
 
 def packed(texts: DataFrame, scheme: int, n_buckets: int, hot: np.ndarray | None) -> DataFrame:

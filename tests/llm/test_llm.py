@@ -198,7 +198,11 @@ def test_signatures_of_sets_within_the_bound_meet():
                     break
                 cut, add = c, a
             f, g = both, np.concatenate([both[cut:], rng.integers(0, 2**63, add, dtype=np.uint64)])
-            hot = np.sort(rng.choice(np.union1d(f, g), random.randint(0, x // 2), replace=False)) if random.random() < 0.5 else None
+            hot = None
+            if random.random() < 0.5:
+                hot = np.zeros(ngram_jaccard.HOT_BITS // 64, np.int64)
+                for p in ngram_jaccard.hot_places(rng.choice(np.union1d(f, g), random.randint(0, x // 2), replace=False)).tolist():
+                    hot[p >> 6] |= np.uint64(1 << (p & 63)).astype(np.int64)
             sig, of = ngram_jaccard.signatures([f, g], scheme, hot)
             assert set(sig[of == 0]) & set(sig[of == 1]), (scheme, x, cut, add)
 
@@ -228,7 +232,7 @@ def test_fingerprints(spark, docs, none):
     r = spark.createDataFrame([(a, b)], "a string, b string")
     t = r.select(fingerprints.tree(F.col("a")).alias("x"), fingerprints.tree(F.col("b")).alias("y"))
     d = t.select(fingerprints.differing_branches(F.col("x"), F.col("y"))).collect()[0][0]
-    assert [(x["section"], x["paragraph"]) for x in d] == [(0, 1)]
+    assert [(x["section"], x["paragraph"], x["leaf"]) for x in d] == [(0, 1, 1)]
     x = fingerprints.with_next(docs).collect()
     order = sorted(DOCS, key=lambda r: (r[0] is not None, r[0] or 0))
     follow = {order[i][0]: order[(i + 1) % len(order)][1] or "" for i in range(len(order))}
@@ -237,6 +241,14 @@ def test_fingerprints(spark, docs, none):
     e = spark.createDataFrame([("abcdefgh", "XYZ"), ("abcdefgh", "X"), ("", "X"), ("é😀ab", "ü")], "a string, b string")
     assert [r[0] for r in e.select(fingerprints.edited(F.col("a"), F.col("b"))).collect()] == ["abcdefXY", "abcdefX", "", "é😀aü"]
     assert fingerprints.with_next(none).count() == 0
+    far = [(i, f"text {i}") for i in range(3000)] + [(10**17, "far")] + [(7, f"seven {i}") for i in range(2000)] + [(None, f"null {i}") for i in range(700)]
+    far = spark.createDataFrame(far, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    sizes = [r["count"] for r in far.withColumn("b", fingerprints.bucket_of(far)).groupBy("b").count().collect()]
+    assert max(sizes) < 1000 and sum(sizes) == 5701
+    x = fingerprints.with_next(far).collect()
+    rows = sorted([(r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"]) for r in far.collect()])
+    follow = {r[3]: rows[(i + 1) % len(rows)][3] for i, r in enumerate(rows)}
+    assert len(x) == len(rows) and all(follow[r["text"]] == r["next_text"] for r in x)
 
 
 def test_pii_base(spark, docs, none):
