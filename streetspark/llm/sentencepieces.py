@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 The words of a batch that are not known yet are joined into one text, whose suffixes
-are sorted (by as many characters as the longest piece has). Every piece is looked up by binary
+are sorted, by as many characters as the longest piece has, which is all that a search for pieces can ask. Every piece is looked up by binary
 search, which gives the range of its occurrences; these are edges of a lattice. Sorted by
 position they are relaxed from left to right: for a BPE model the encoding
 of a prefix ends with exactly one piece, the one whose pair with the last piece before it
@@ -12,7 +12,7 @@ become their UTF-8 bytes. Words (which start at U+2581) are encoded once a batch
 cache. The model's bytes come from a path on the driver and travel with the
 task, so executors need no file. Tokenizers are not trained here.
 
-Null and empty texts have no ids. Decoding gives the text back, except that U+2581 itself
+Models of other kinds, or with a normaliser, are an error. Null and empty texts have no ids; very long texts are encoded alone. Decoding gives the text back, except that U+2581 itself
 becomes a space, as in the library. Repeated rows are encoded one by one; an empty table stays empty;
 extra columns pass through ``encoded``.
 """
@@ -26,9 +26,10 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import fresh, text_of
 
@@ -38,9 +39,49 @@ CACHE = 300_000
 BATCH = 2_000_000
 #: Characters of new words that are sorted at once.
 CHUNK = 150_000
+#: Bytes of text that are encoded at once.
+SLICE = 2_000_000
 _CODECS: dict[str, Codec] = {}
 
 
+def fields(message: bytes) -> dict[int, int | bytes]:
+    """The fields of a protocol buffer by number, the last of repeated ones: numbers, or the bytes of the rest."""
+    out: dict[int, int | bytes] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = message[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(message):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            out[tag >> 3] = number()
+            continue
+        size = number() if kind == 2 else 8 if kind == 1 else 4
+        out[tag >> 3] = message[at : at + size]
+        at += size
+    return out
+
+
+def check_model(model: bytes) -> None:
+    """An error unless the model merges pairs and takes texts as they are, with a space put before."""
+    proto = fields(model)
+    trainer, normalizer = fields(proto.get(2, b"")), fields(proto.get(3, b""))
+    if trainer.get(3, 1) != 2:
+        raise ValueError("the model is not a BPE model")
+    if normalizer.get(2, b"") or normalizer.get(4, 1) or not normalizer.get(3, 1) or not normalizer.get(5, 1) or trainer.get(24, 0):
+        raise ValueError("the model normalises texts in a way that is not supported")
+
+
 class Codec:
     def __init__(self, model: bytes):
         import sentencepiece
@@ -209,31 +250,50 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode_udf(model: bytes):
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(model)
-        for texts in batches:
-            yield pd.Series(c.encode(list(texts)), index=texts.index, dtype=object)
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about SLICE bytes of text, so that memory does not follow rows; a very long text is alone."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
-    return encode
 
+def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """``docs`` with ``token_ids`` and ``n_tokens`` (under free names)."""
+    model = read_model(path)
+    check_model(model)
+    text, ids, n = fresh(docs, "text_", "token_ids", "n_tokens")
 
-def decode_udf(model: bytes):
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for ids in batches:
-            yield pd.Series([c.decode(x.tolist()) for x in ids], index=ids.index, dtype=object)
+        for batch in batches:
+            for part in slices(batch, text):
+                found = c.encode(part.column(text).to_pylist())
+                sizes = np.array([len(x) for x in found], np.int64)
+                ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+                rows = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), pa.int32()))
+                own = [part.column(i) for i, name in enumerate(part.schema.names) if name != text]
+                yield pa.RecordBatch.from_arrays([*own, rows, pa.array(sizes)], names=[*(x for x in part.schema.names if x != text), ids, n])
 
-    return decode
+    schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType())), StructField(n, LongType())])
+    return docs.withColumn(text, text_of(docs["text"])).mapInArrow(run, schema)
 
 
-def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """``docs`` with ``token_ids`` and ``n_tokens`` (under free names)."""
-    ids, n = fresh(docs, "token_ids", "n_tokens")
-    x = docs.withColumn(ids, encode_udf(read_model(path))(text_of(docs["text"])))
-    return x.withColumn(n, F.size(F.col(f"`{ids}`")).cast("long"))
+def decoded(tokens: DataFrame, ids: str = "token_ids", name: str = "decoded", path: str = MODEL) -> DataFrame:
+    """``tokens`` with the texts of the ids, under a free name; null ids give null."""
+    model = read_model(path)
+    (out,) = fresh(tokens, name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model)
+        for batch in batches:
+            texts = [None if x is None else c.decode(x) for x in batch.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+
+    return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField(out, StringType())]))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -241,15 +301,22 @@ def op2(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     model = read_model()
+    check_model(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for pdf in batches:
-            ids = c.encode(list(pdf["text"]))
-            back = [c.decode(x.tolist()) == t for x, t in zip(ids, pdf["text"], strict=True)]
-            sums = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(x) for x in ids], "ids_sha256": sums, "round_trip": back})
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                ids = c.encode(texts)
+                columns = [
+                    part.column("doc_id"),
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]),
+                    pa.array([c.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
     docs = table(spark, sf_dir, "documents")
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs["text"]).alias("text"))
-    return d.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
+    return d.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
