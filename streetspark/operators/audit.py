@@ -31,11 +31,42 @@ def top_shares(x: DataFrame, keys: list[str], share: str, tie: str, ks=(2, 5, 10
     return t.groupBy(*keys).agg(*[F.sum(F.when(F.col("rank") <= k, F.col(share))).alias(f"top_{k}") for k in ks])
 
 
+def identity_violations(decomposed: DataFrame, keys: list[str], length: str = "length", distance: str = "distance", most: float = 1e-9) -> DataFrame:
+    """Groups (keys, share, weight, gap) of a decomposition whose shares or weights do not add up to 1, or whose contributions not to the circuity beyond 1."""
+    x = decomposed.groupBy(*keys).agg(
+        F.sum("excess_share").alias("share"), F.sum("distance_weight").alias("weight"), (F.sum("contribution") - (F.sum(length) / F.sum(distance) - 1)).alias("gap")
+    )
+    return x.where((F.abs(F.col("share") - 1) > most) | (F.abs(F.col("weight") - 1) > most) | (F.abs("gap") > most))
+
+
+def compact_ranks(ranked: DataFrame, fields: list[str]) -> DataFrame:
+    """Ranked rows with a few fields, in that order."""
+    return ranked.select("rank", *[f for f in fields if f != "rank"])
+
+
+def sensitivity_summary(x: DataFrame, metrics: list[str], group: str, by: str, first, second) -> DataFrame:
+    """(metric, least, most, mean per group value, n_first_larger): over the values of ``by``, and for how many of them the first group's is larger."""
+    long = x.unpivot([group, by], metrics, "metric", "value")
+    wide = long.groupBy("metric", by).pivot(group, [first, second]).agg(F.first("value"))
+    a, b = F.col(f"`{first}`"), F.col(f"`{second}`")
+    figures = [f(c).alias(f"{n}_{s}") for s, c in (("first", a), ("second", b)) for n, f in (("least", F.min), ("most", F.max), ("mean", F.avg))]
+    return wide.groupBy("metric").agg(*figures, F.count_if(a > b).alias("n_first_larger"))
+
+
+def rollup_counts(events: DataFrame, first: str, second: str) -> DataFrame:
+    """(first, second, n): counts in all, by the first column and by both; null stands for all."""
+    return events.rollup(first, second).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g")).select(first, second, F.col("_g").cast("int").alias("level"), "n")
+
+
 def average_rank(x: DataFrame, keys: list[str], v: str, name: str) -> DataFrame:
-    """Ranks with ties averaged."""
-    w = Window.partitionBy(*keys).orderBy(v)
-    peers = F.count(F.lit(1)).over(Window.partitionBy(*keys, v))
-    return x.withColumn(name, F.rank().over(w) + (peers - 1) / 2.0)
+    """Ranks with ties averaged. Values are counted first and dealt by ranges of (keys, value), so a group needs no window of its own."""
+    from . import topology
+
+    counts = x.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = topology.running(counts, keys, [v], "_c", "_before")
+    ranked = ranked.select(*keys, F.col(v).alias("_v"), (F.col("_before") + (F.col("_c") + 1) / 2.0).alias(name))
+    on = [x[k].eqNullSafe(ranked[k]) for k in keys] + [x[v].eqNullSafe(ranked["_v"])]
+    return x.join(ranked, on).select(*[x[c] for c in x.columns], name)
 
 
 def spearman(x: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

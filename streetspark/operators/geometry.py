@@ -16,6 +16,11 @@ CONTROL = ["x0", "y0", "x1", "y1", "x2", "y2"]
 NEAR_COLLINEAR = 1e-6
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fixed_samples(curves: DataFrame, n: int = 101) -> DataFrame:
     """n points at equal steps of t; the ends are the control points."""
     x = curves.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("t", F.col("i") / F.lit(float(n - 1)))
@@ -23,10 +28,12 @@ def fixed_samples(curves: DataFrame, n: int = 101) -> DataFrame:
 
 
 def with_bounds(curves: DataFrame) -> DataFrame:
+    """min_x, max_x, min_y, max_y; generated as one row, so that the expressions are not repeated wherever bounds are used."""
+    made = []
     for c in E.AXES:
         low, high = E.bounds(*[f"{c}{i}" for i in range(3)])
-        curves = curves.withColumn(f"min_{c}", low).withColumn(f"max_{c}", high)
-    return curves
+        made += [low.alias(f"min_{c}"), high.alias(f"max_{c}")]
+    return curves.select("*", F.inline(F.array(F.struct(*made))))
 
 
 def zero_chord() -> Column:
@@ -115,8 +122,15 @@ def adaptive_samples(curves: DataFrame, tolerance: Column | float, max_depth: in
         return F.when(chord > 0, flat).otherwise((hx == 0) & (hy == 0))
 
     def level(state: Column, depth: Column) -> Column:
-        done = F.filter(state["open"], lambda i: accepted(i["a"], i["b"]))
-        rest = F.filter(state["open"], lambda i: ~accepted(i["a"], i["b"]))
+        # every interval is judged once a level, and nothing is done once no interval is open
+        return F.when(F.size(state["open"]) == 0, state).otherwise(let(F.transform(state["open"], judged), lambda j: split(state, j)))
+
+    def judged(i: Column) -> Column:
+        return F.struct(i["a"].alias("a"), i["b"].alias("b"), accepted(i["a"], i["b"]).alias("flat"))
+
+    def split(state: Column, j: Column) -> Column:
+        plain = lambda x: F.transform(x, lambda i: F.struct(i["a"].alias("a"), i["b"].alias("b")))
+        done, rest = plain(F.filter(j, lambda i: i["flat"])), F.filter(j, lambda i: ~i["flat"])
 
         def halves(i: Column) -> Column:
             m = (i["a"] + i["b"]) / 2.0
@@ -156,6 +170,24 @@ def pieces(points: DataFrame, key: list[str], pos: str) -> DataFrame:
     return x.where("dx IS NOT NULL").select(*key, pos, "dx", "dy", E.norm("dx", "dy").alias("length"))
 
 
+def selected_linework(curves: DataFrame, tolerance: float, keys: list[str]) -> DataFrame:
+    """(keys, segment_id, n_vertices, length, geometry): the adaptive polylines; an end that is not the curve's exact end is an error."""
+    v = adaptive_samples(curves, tolerance)
+    key = [*keys, "segment_id", *CONTROL]
+    g = v.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "t", "x", "y"))).alias("geometry"))
+    a, b = F.get("geometry", F.lit(0)), F.element_at("geometry", -1)
+    exact = (a["x"] == F.col("x0")) & (a["y"] == F.col("y0")) & (b["x"] == F.col("x2")) & (b["y"] == F.col("y2"))
+    wrong = F.raise_error(F.lit("a polyline does not end where its curve does")).cast("array<struct<pos:int,t:double,x:double,y:double>>")
+    g = g.withColumn("geometry", F.when(exact, F.col("geometry")).otherwise(wrong))
+    return g.select(*keys, "segment_id", F.size("geometry").alias("n_vertices"), array_length(F.col("geometry")).alias("length"), "geometry")
+
+
+def excursions(curves: DataFrame, keys: list[str], n: int = 101) -> DataFrame:
+    """(keys, segment_id, excursion): how far curves with a zero chord go from their ends, over n samples."""
+    x = fixed_samples(curves.where(zero_chord()), n)
+    return x.groupBy(*keys, "segment_id").agg(F.max(E.norm(F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))).alias("excursion"))
+
+
 def arc_length(n: int = 16):
     """A pandas UDF of the six control coordinates: Gauss-Legendre quadrature on intervals graded towards the place where the curve is slowest."""
     nodes, weights = np.polynomial.legendre.leggauss(n)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, what ``setCheckpointDir`` was given, or a folder of the warehouse."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (at or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/streetspark-checkpoints").rstrip("/")
+
+
 def ensure_checkpoints(df: DataFrame) -> None:
     """Uses the session's checkpoint folder; sets an own one only where none is set."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streetspark-")
-        spark.sparkContext.setCheckpointDir(at)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def ends(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,6 +61,45 @@ def parallel_edges(edges: DataFrame, keys: list[str]) -> DataFrame:
     return x.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n_edges")).where("n_edges > 1")
 
 
+def defects(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) -> DataFrame:
+    """(keys, reason): what a simple, not empty graph must not have: loops, parallel edges, ends that are no nodes, no node at all."""
+    loops = edges.where(F.col("u") == F.col("v")).select(*keys, F.lit("a loop").alias("reason"))
+    out = loops.union(parallel_edges(edges, keys).where("a <> b").select(*keys, F.lit("parallel edges")))
+    if nodes is not None:
+        lost = ends(edges, keys).select(*keys, "node").distinct().join(nodes.select(*keys, F.col("node_id").alias("node")), [*keys, "node"], "left_anti")
+        out = out.union(lost.select(*keys, F.lit("an end that is no node")))
+    every = edges.select(*keys) if nodes is None else nodes.select(*keys)
+    out = out.groupBy(*keys, "reason").agg(F.count(F.lit(1)).alias("n"))
+    if keys:
+        return out
+    empty = every.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("no node").alias("reason"), F.lit(1).cast("long").alias("n"))
+    return out.union(empty)
+
+
+def require_simple(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) -> None:
+    """An error unless the graph is simple and not empty; at most a few rows come to the driver."""
+    rows = defects(edges, keys, nodes).limit(5).collect()
+    if rows or (edges if nodes is None else nodes).isEmpty():
+        raise ValueError(f"not a simple graph: {rows or 'no node'}")
+
+
+def degree_map(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) -> DataFrame:
+    """(keys, degrees): the degree distribution as a map with string keys, in the order of degrees."""
+    d = degree_distribution(edges, keys, nodes).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("degree", "n_nodes"))).alias("d"))
+    return d.select(*keys, F.map_from_entries(F.transform("d", lambda x: F.struct(x["degree"].cast("string"), x["n_nodes"]))).alias("degrees"))
+
+
+def incident_buckets(edges: DataFrame, keys: list[str], nodes: DataFrame) -> DataFrame:
+    """Per group: nodes with one, two, three or more incident edges or none, loops, components; an edge counts once at a node."""
+    e = ends(edges, keys).select(*keys, "node", "edge_id").distinct().groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("n"))
+    x = nodes.select(*keys, F.col("node_id").alias("node")).join(e, [*keys, "node"], "left").fillna(0, ["n"])
+    counts = {"one": F.col("n") == 1, "two": F.col("n") == 2, "three_or_more": F.col("n") >= 3, "none": F.col("n") == 0}
+    a = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_nodes"), *[F.count_if(t).alias(f"with_{c}") for c, t in counts.items()])
+    b = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("u") == F.col("v")).alias("n_loops"))
+    c = components(edges, keys, nodes).groupBy(*keys).agg(F.countDistinct("component").alias("n_components"))
+    return a.join(b, keys, "left").join(c, keys, "left").fillna(0, ["n_edges", "n_loops"])
+
+
 def topology_summary(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) -> DataFrame:
     """Nodes, mean degree, how many have degree 1, 2, 3, 4, 5 or more, shares of all and of those of 3 or more."""
     d = degrees(edges, keys, nodes)
@@ -72,8 +114,12 @@ def topology_summary(edges: DataFrame, keys: list[str], nodes: DataFrame | None
     return d.groupBy(*keys).agg(*aggs)
 
 
-def graph_summary(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) -> DataFrame:
-    """Nodes, edges, loops, parallel pairs, components."""
+def graph_summary(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None, flagged: str | None = None) -> DataFrame:
+    """Nodes, edges, loops, parallel pairs, components; with ``flagged``, a boolean column, also how many nodes and edges have it."""
+    if flagged:
+        marks = [x.groupBy(*keys).agg(F.count_if(F.col(flagged)).alias(n)) for x, n in ((nodes, "n_flagged_nodes"), (edges, "n_flagged_edges"))]
+        plain = graph_summary(edges, keys, nodes)
+        return plain.join(marks[0], keys, "left").join(marks[1], keys, "left").fillna(0, ["n_flagged_nodes", "n_flagged_edges"])
     c = components(edges, keys, nodes).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_nodes"), F.countDistinct("component").alias("n_components"))
     e = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("u") == F.col("v")).alias("n_loops"))
     p = parallel_edges(edges, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_parallel"))
@@ -93,6 +139,54 @@ def exclude_edges(edges: DataFrame, registered: DataFrame, keys: list[str]) -> D
     return edges.join(registered, [*keys, "edge_id"], "left_anti")
 
 
+def exclusions(edges: DataFrame, register: DataFrame, keys: list[str], flag: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept edges, excluded edges, violations) of registered anomalies (keys, edge_id); no length decides.
+
+    Violations (keys, edge_id, reason): a registered id without an edge, with more than one, or whose edge is not flagged; a flagged edge that stays.
+    """
+    r = register.select(*keys, "edge_id").distinct()
+    kept, gone = edges.join(r, [*keys, "edge_id"], "left_anti"), edges.join(r, [*keys, "edge_id"], "left_semi")
+    n = gone.groupBy(*keys, "edge_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce(F.col(flag), F.lit(False))).alias("ok"))
+    j = r.join(n, [*keys, "edge_id"], "left")
+    reason = F.when(F.col("n").isNull(), "no edge").when(F.col("n") > 1, "more than one edge").when(~F.col("ok"), "not flagged")
+    bad = j.select(*keys, "edge_id", reason.alias("reason")).where("reason IS NOT NULL")
+    return kept, gone, bad.union(kept.where(F.coalesce(F.col(flag), F.lit(False))).select(*keys, "edge_id", F.lit("flagged but not registered")))
+
+
+def provenance(locations: DataFrame, fragments: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, violations) of a topology: locations (keys, location_id, x, y ...) and fragments (keys, fragment_id, u, v, length ...).
+
+    Other columns are provenance and stay. Violations: ends that are no location, repeated ids.
+    """
+    nodes = locations.withColumnRenamed("location_id", "node_id")
+    edges = fragments.withColumnRenamed("fragment_id", "edge_id")
+    known = nodes.select(*keys, F.col("node_id").alias("node"))
+    lost = ends(edges, keys).join(known, [*keys, "node"], "left_anti").select(*keys, F.col("edge_id").cast("string").alias("id"), F.lit("an end that is no location").alias("reason"))
+    twice = lambda x, c: x.groupBy(*keys, c).count().where("count > 1").select(*keys, F.col(c).cast("string").alias("id"), F.lit(f"repeated {c}"))
+    return nodes, edges, lost.distinct().union(twice(nodes, "node_id")).union(twice(edges, "edge_id"))
+
+
+def _number(c: Column) -> Column:
+    return c.cast("string")
+
+
+def point_wkt(x: Column, y: Column) -> Column:
+    return F.concat(F.lit("POINT ("), _number(x), F.lit(" "), _number(y), F.lit(")"))
+
+
+def line_wkt(points: Column) -> Column:
+    """WKT of an array of structs with x and y."""
+    return F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(points, lambda p: F.concat(_number(p["x"]), F.lit(" "), _number(p["y"]))), ", "), F.lit(")"))
+
+
+def tables(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Node and edge tables: (keys, osmid, x, y, geometry ...) and (keys, u, v, key, geometry ...); key counts the edges between two ends, geometry is WKT."""
+    n = nodes.select(*keys, F.col("node_id").alias("osmid"), *[c for c in nodes.columns if c not in (*keys, "node_id")]).withColumn("geometry", point_wkt(F.col("x"), F.col("y")))
+    w = Window.partitionBy(*keys, "u", "v").orderBy("edge_id")
+    e = edges.withColumn("key", F.row_number().over(w) - 1).withColumn("geometry", line_wkt(F.col("geometry")))
+    return n, e.select(*keys, "u", "v", "key", *[c for c in e.columns if c not in (*keys, "u", "v", "key")])
+
+
 def retention_nodes(edges: DataFrame, keys: list[str], nodes: DataFrame, marked: Column | None = None) -> DataFrame:
     """(keys, node): nodes that contraction keeps.
 
@@ -114,6 +208,9 @@ def retention_nodes(edges: DataFrame, keys: list[str], nodes: DataFrame, marked:
 def contract_chains(edges: DataFrame, keys: list[str], retained: DataFrame) -> DataFrame:
     """(keys, u, v, n_edges, length, edge_ids): every maximal chain between retained nodes as one edge.
 
+    If edges have a ``geometry`` (an array of x and y from u to v), so have chains: the edges' in the direction of the walk, a joint once; joints that
+    are not exactly equal are an error.
+
     Half-edges are linked through the nodes that go; pointer doubling finds the end of each in
     a logarithm of rounds. A chain is walked from its smaller end (by node, then by its first edge).
     """
@@ -148,10 +245,30 @@ def contract_chains(edges: DataFrame, keys: list[str], retained: DataFrame) -> D
     x = x.join(other, [*keys, "edge_id", "dir"])
     forward = (F.col("start") < F.col("finish")) | ((F.col("start") == F.col("finish")) & ((F.col("s_edge") < F.col("p_edge")) | ((F.col("s_edge") == F.col("p_edge")) & (F.col("dir") == 0))))
     x = x.where(forward)
+    steps = [(-F.col("hops")).alias("place"), F.col("edge_id")]
+    shaped = "geometry" in edges.columns
+    if shaped:
+        x = x.join(edges.select(*keys, "edge_id", "geometry"), [*keys, "edge_id"])
+        steps.append(F.when(F.col("dir") == 0, F.col("geometry")).otherwise(F.reverse("geometry")).alias("geometry"))
     g = x.groupBy(*keys, F.col("start").alias("u"), F.col("finish").alias("v"), "s_edge", "p_edge").agg(
-        F.count(F.lit(1)).alias("n_edges"), F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("place"), "edge_id"))).alias("walk")
+        F.count(F.lit(1)).alias("n_edges"), F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct(*steps))).alias("walk")
     )
-    return g.select(*keys, "u", "v", "n_edges", "length", F.transform("walk", lambda w: w["edge_id"]).alias("edge_ids"))
+    out = [F.transform("walk", lambda w: w["edge_id"]).alias("edge_ids")]
+    if shaped:
+        out.append(joined(F.transform("walk", lambda w: w["geometry"])).alias("geometry"))
+    return g.select(*keys, "u", "v", "n_edges", "length", *out)
+
+
+def joined(parts: Column) -> Column:
+    """One polyline of several, each of which begins where the last one ends."""
+    wrong = F.raise_error(F.lit("a chain's joint is not exact")).cast("boolean")
+
+    def add(line: Column, part: Column) -> Column:
+        a, b = F.element_at(line, -1), F.get(part, F.lit(0))
+        exact = F.when((a["x"] == b["x"]) & (a["y"] == b["y"]), F.lit(True)).otherwise(wrong)
+        return F.when(exact, F.concat(line, F.slice(part, F.lit(2), F.size(part))))
+
+    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.get(parts, F.lit(0)), add)
 
 
 def bidirectional(edges: DataFrame) -> DataFrame:

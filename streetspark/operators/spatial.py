@@ -1,6 +1,8 @@
 """Spatial joins by grid cells: an equi-join on the cell, then the exact predicate.
 
-A plain range join would be a nested loop. Boxes are put into every cell that they touch, and a pair counts only in the cell
+A plain range join would be a nested loop. Cells come in levels, each twice as large as the one below; a box is at home in the level whose cells
+are not smaller than it, so it touches four of them at most, however large it is. It also visits the larger levels that other boxes are at
+home in. A pair meets in the home cells of its larger box, and counts only in the cell
 of the larger of the two lower left corners, so no pair is found twice and nothing has to be made distinct.
 """
 
@@ -12,30 +14,65 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 
 
-def cells(low: Column, high: Column, size: float) -> Column:
+def cells(low: Column, high: Column, size: float | Column) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
 def typical_extent(boxes: DataFrame) -> float:
-    """Cell size: the larger of the mean extents; 1.0 if there is none."""
+    """Size of the least cells: the larger of the mean extents; 1.0 if there is none."""
     m = boxes.agg(F.avg(F.col("max_x") - F.col("min_x")), F.avg(F.col("max_y") - F.col("min_y"))).first()
     return max(m[0] or 0.0, m[1] or 0.0) or 1.0
 
 
+def level_of(cell: float) -> Column:
+    """The home level of a box."""
+    extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    return F.when(extent > cell, F.ceil(F.log2(extent / cell))).otherwise(F.lit(0)).cast("int")
+
+
+def present_levels(boxes: DataFrame, cell: float) -> list[int]:
+    """The levels that boxes are at home in; a few dozen at most, as each doubles the extent."""
+    return sorted(boxes.agg(F.collect_set(level_of(cell))).first()[0])
+
+
+def size_of(level: Column, cell: float) -> Column:
+    return F.pow(F.lit(2.0), level) * F.lit(cell)
+
+
 def bbox_pairs(boxes: DataFrame, group: list[str], ident: str, cell: float | None = None) -> DataFrame:
-    """(group, a, b) of boxes that overlap, touching included; a < b."""
-    size = cell or typical_extent(boxes)
-    x = boxes.withColumn("cx", F.explode(cells(F.col("min_x"), F.col("max_x"), size)))
-    x = x.withColumn("cy", F.explode(cells(F.col("min_y"), F.col("max_y"), size)))
-    a, b = x.alias("a"), x.alias("b")
-    on = F.col(f"a.{ident}") < F.col(f"b.{ident}")
-    for c in (*group, "cx", "cy"):
+    """(group, a, b) of boxes that overlap, touching included; a < b. Without ``cell`` the mean extent is asked for first."""
+    cell = cell or typical_extent(boxes)
+    levels = present_levels(boxes, cell)
+    x = boxes.select("*", F.explode(F.array(level_of(cell))).alias("home"))  # generated, so that it is not repeated below
+    visits = F.filter(F.array(*map(F.lit, levels)), lambda v: v >= F.col("home")) if levels else F.array(F.lit(0))
+    every = x.withColumn("level", F.explode(visits))
+    for c in E.AXES:
+        every = every.withColumn(f"c{c}", F.explode(cells(F.col(f"min_{c}"), F.col(f"max_{c}"), size_of(F.col("level"), cell))))
+    a, b = every.where("home = level").alias("a"), every.alias("b")
+    # of two boxes at home in one level the one with the smaller id is a; one from below is always b
+    on = (F.col("b.home") < F.col("b.level")) | (F.col(f"a.{ident}") < F.col(f"b.{ident}"))
+    for c in (*group, "level", "cx", "cy"):
         on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     own = F.lit(True)
     for c in E.AXES:
-        own = own & (F.col(f"a.c{c}") == F.floor(F.greatest(F.col(f"a.min_{c}"), F.col(f"b.min_{c}")) / size))
+        own = own & (F.col(f"a.c{c}") == F.floor(F.greatest(F.col(f"a.min_{c}"), F.col(f"b.min_{c}")) / size_of(F.col("a.level"), cell)))
     j = a.join(b, on & E.overlap("a", "b") & own)
-    return j.select(*[F.col(f"a.{c}").alias(c) for c in group], F.col(f"a.{ident}").alias("a"), F.col(f"b.{ident}").alias("b"))
+    i, k = F.col(f"a.{ident}"), F.col(f"b.{ident}")
+    return j.select(*[F.col(f"a.{c}").alias(c) for c in group], F.least(i, k).alias("a"), F.greatest(i, k).alias("b"))
+
+
+def point_box_pairs(points: DataFrame, boxes: DataFrame, group: list[str], cell: float) -> DataFrame:
+    """Points (px, py ...) with the boxes that hold them, edges included; all columns of both."""
+    levels = present_levels(boxes, cell)
+    b = boxes.select("*", F.explode(F.array(level_of(cell))).alias("level"))
+    p = points.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array(F.lit(0))))
+    for c in E.AXES:
+        b = b.withColumn(f"c{c}", F.explode(cells(F.col(f"min_{c}"), F.col(f"max_{c}"), size_of(F.col("level"), cell))))
+        p = p.withColumn(f"c{c}", F.floor(F.col(f"p{c}") / size_of(F.col("level"), cell)))
+    j = p.join(b, [*group, "level", "cx", "cy"])
+    for c in E.AXES:
+        j = j.where((F.col(f"p{c}") >= F.col(f"min_{c}")) & (F.col(f"p{c}") <= F.col(f"max_{c}")))
+    return j.drop("level", "cx", "cy")
 
 
 def distance_pairs(points: DataFrame, group: list[str], ident: str, most: float) -> DataFrame:

@@ -30,6 +30,23 @@ def endpoint_audit(points: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def endpoint_frequencies(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, positions): how many positions have so many endpoints."""
+    return endpoint_groups(points, keys).groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("positions"))
+
+
+def end_position_pairs(curves: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group: distinct pairs of end positions of curves, with direction and without."""
+    p, q = F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    pairs = curves.select(*keys, F.struct(p, q).alias("d"), F.struct(F.least(p, q), F.greatest(p, q)).alias("u"))
+    return pairs.groupBy(*keys).agg(F.count_distinct("d").alias("directed"), F.count_distinct("u").alias("undirected"))
+
+
+def location_ids(points: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """(keys, x, y, ids): the sorted distinct ids at each exact position."""
+    return points.groupBy(*keys, "x", "y").agg(F.array_sort(F.collect_set(ident)).alias("ids"))
+
+
 def endpoint_pairs(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, x, y, a, b): pairs of distinct segments that share an exact position; a < b."""
     p = points.select(*keys, "x", "y", "segment_id").distinct()
@@ -37,10 +54,32 @@ def endpoint_pairs(points: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, [*keys, "x", "y"]).where("a < b")
 
 
+def running(x: DataFrame, keys: list[str], order: list, weight: str, name: str) -> DataFrame:
+    """``x`` with the sum of ``weight`` over the rows of its group that are before it in the order.
+
+    Groups are few and may be large, so rows are dealt by ranges of (keys, order); a row's sum is that inside its range and the
+    totals of its group in the ranges before.
+    """
+    from .graph import ensure_checkpoints
+
+    own = [F.col(c) if isinstance(c, str) else c for c in order]
+    y = x.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(own)])
+    by = [f"_o{i}" for i in range(len(own))]
+    ensure_checkpoints(x)
+    # ranges are sampled: they must not be drawn anew
+    y = y.repartitionByRange(*keys, *by).withColumn("_range", F.spark_partition_id()).checkpoint()
+    n = y.groupBy(*keys, "_range").agg(F.sum(weight).alias("_n"))  # a row a range and group
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    earlier = n.withColumn("_e", F.sum("_n").over(w.orderBy("_range")) - F.col("_n")).drop("_n")
+    inside = F.sum(weight).over(Window.partitionBy("_range", *keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+    y = y.withColumn("_i", F.coalesce(inside, F.lit(0))).join(F.broadcast(earlier), [*keys, "_range"])
+    return y.select(*x.columns, (F.col("_i") + F.col("_e")).alias(name))
+
+
 def numbered(x: DataFrame, keys: list[str], order: list, name: str, prefix: str, digits: int = 4) -> DataFrame:
     """Deterministic ids, from 1 in the order given."""
-    w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.partitionBy(F.lit(0)).orderBy(*order)
-    return x.withColumn(name, F.format_string(f"{prefix}%0{digits}d", F.row_number().over(w)))
+    y = running(x.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", "_before")
+    return y.select(*x.columns, F.format_string(f"{prefix}%0{digits}d", F.col("_before") + 1).alias(name))
 
 
 def locations(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,6 +100,69 @@ def keep_apart(records: Column, parameter: float, distance: float) -> Column:
     return F.when(F.size(records) > 0, F.aggregate(F.array_sort(records), empty, step)).otherwise(empty)
 
 
+def split_records(decisions: DataFrame, keys: list[str], parameter: float = 2e-5, distance: float = 7e-8) -> DataFrame:
+    """(keys, segment_id, t, x, y, ids): where validated events (keys, event_id, a, b, t_a, t_b, x, y) split each of their two curves.
+
+    On a curve an event within both limits of the last kept one joins it.
+    """
+    side = lambda s: F.struct(F.col(s).alias("segment_id"), F.col(f"t_{s}").alias("t"))
+    x = decisions.select(*keys, "event_id", "x", "y", F.explode(F.array(side("a"), side("b"))).alias("s"))
+    one = F.struct(F.col("s.t").alias("t"), "x", "y", F.array("event_id").alias("ids"))
+    x = x.groupBy(*keys, F.col("s.segment_id").alias("segment_id")).agg(F.collect_list(one).alias("r"))
+    return x.select(*keys, "segment_id", F.explode(keep_apart(F.col("r"), parameter, distance)).alias("k")).select(*keys, "segment_id", "k.*")
+
+
+def described(locations_: DataFrame, frags: DataFrame, curves: DataFrame, crossings: DataFrame, keys: list[str]) -> DataFrame:
+    """``locations_`` with ``source_type``, ``incident`` (sorted fragment ids), ``n_ends``, ``segments`` and ``role``.
+
+    ``crossings`` (keys, segment_id, t, x, y) are the splits. The source is authored_exact_endpoint, validated_interior_crossing or
+    multiple_sources; the role tells validated junctions, dead ends (or loops), continuations and branches.
+    """
+    at = lambda x, name: x.select(*keys, "x", "y").distinct().withColumn(name, F.lit(True))
+    loc = locations_.join(at(endpoints(curves), "_e"), [*keys, "x", "y"], "left").join(at(crossings, "_c"), [*keys, "x", "y"], "left")
+    ends = frags.select(*keys, "fragment_id", "segment_id", F.explode(F.array("u", "v")).alias("location_id"))
+    g = ends.groupBy(*keys, "location_id").agg(
+        F.array_sort(F.collect_set("fragment_id")).alias("incident"), F.count(F.lit(1)).alias("n_ends"), F.array_sort(F.collect_set("segment_id")).alias("segments")
+    )
+    x = loc.join(g, [*keys, "location_id"], "left").withColumn("n_ends", F.coalesce("n_ends", F.lit(0).cast("long")))
+    source = F.when(F.col("_e") & F.col("_c"), "multiple_sources").when(F.col("_c"), "validated_interior_crossing").otherwise("authored_exact_endpoint")
+    n = F.coalesce(F.size("incident"), F.lit(0))
+    role = F.when(F.col("_c"), "validated_interior_junction").when(n <= 1, "dead_end_or_self_loop").when(n == 2, "continuation").otherwise("authored_branch")
+    return x.select(*[F.col(c) for c in locations_.columns], source.alias("source_type"), "incident", "n_ends", "segments", role.alias("role"))
+
+
+def sensitivity(locations_: DataFrame, frags: DataFrame, candidates: DataFrame, keys: list[str], tolerances: list[float]) -> DataFrame:
+    """Per tolerance (0 gives the exact topology): eligible, ambiguous, applied, and the provisional numbers of locations, fragments and components.
+
+    ``candidates``: (keys, candidate_id, type, source, target, distance, first, second): source and target are location ids; for an endpoint inside
+    a fragment, target names the place, first and second are that fragment's ends. A merge of two endpoints makes two locations one; an
+    endpoint inside a fragment splits it, once a place, and joins its component.
+    """
+    from . import graph
+
+    levels = locations_.sparkSession.createDataFrame([(float(t),) for t in tolerances], "tolerance double")  # a parameter list
+    k = [*keys, "tolerance"]
+    c = candidates.join(F.broadcast(levels), F.col("distance") <= F.col("tolerance"))
+    c = ambiguous(c, k)
+    inside = F.col("type") == "endpoint_interior"
+    counts = c.groupBy(*k).agg(F.count(F.lit(1)).alias("eligible"), F.count_if(F.col("ambiguous")).alias("ambiguous"), F.count_if(~F.col("ambiguous")).alias("applied"), F.max("distance").alias("largest"))
+    applied = c.where(~F.col("ambiguous"))
+    splits = applied.where(inside).groupBy(*k).agg(F.count_distinct("target").alias("splits"))
+    merges = applied.where(~inside).select(*k, F.col("candidate_id").cast("string").alias("edge_id"), F.col("source").alias("u"), F.col("target").alias("v"))
+    joins = applied.where(inside)
+    joins = joins.select(*k, F.concat(F.col("candidate_id").cast("string"), F.lit(":1")).alias("edge_id"), F.col("source").alias("u"), F.col("first").alias("v")).union(
+        joins.select(*k, F.concat(F.col("candidate_id").cast("string"), F.lit(":2")), "source", "second")
+    )
+    nodes = locations_.select(*keys, F.col("location_id").alias("node_id")).crossJoin(F.broadcast(levels)).select(*k, "node_id")
+    edges = frags.select(*keys, F.col("fragment_id").alias("edge_id"), "u", "v").crossJoin(F.broadcast(levels)).select(*k, "edge_id", "u", "v")
+    sets = lambda e, name: graph.components(e, k, nodes).groupBy(*k).agg(F.count_distinct("component").alias(name))
+    x = sets(merges, "locations").join(sets(edges.union(merges).union(joins), "components"), k)
+    n = frags.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else frags.agg(F.count(F.lit(1)).alias("_n"))
+    x = x.join(n, keys, "left") if keys else x.crossJoin(F.broadcast(n))  # one row
+    x = x.join(counts, k, "left").join(splits, k, "left").fillna(0)
+    return x.select(*k, "eligible", "ambiguous", "applied", "largest", "locations", (F.col("_n") + F.col("splits")).alias("fragments"), "components")
+
+
 def fragments(curves: DataFrame, crossings: DataFrame, tolerance: float, keys: list[str]) -> DataFrame:
     """Curves split at their crossings (keys, segment_id, t): pieces with adaptive geometry, length and id."""
     ts = crossings.groupBy(*keys, "segment_id").agg(F.array_sort(F.collect_set("t")).alias("ts"))
@@ -91,6 +193,11 @@ def topology(curves: DataFrame, crossings: DataFrame, tolerance: float, keys: li
     return loc, f
 
 
+def canonical(x: DataFrame) -> DataFrame:
+    """Locations or fragments marked as the canonical topology, in which nothing is snapped."""
+    return x.withColumn("snapping_tolerance", F.lit(0.0)).withColumn("policy", F.lit("canonical_zero_snap"))
+
+
 def violations(frags: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that break the topology: gaps between pieces, missing ends, lengths that are not finite."""
     w = Window.partitionBy(*keys, "segment_id").orderBy("piece")
@@ -104,6 +211,12 @@ def violations(frags: DataFrame, keys: list[str]) -> DataFrame:
     return x.withColumn("reason", reason).where("reason IS NOT NULL").drop("_before", "_last")
 
 
+def audited(misses: DataFrame, keys: list[str], tolerances: list[float]) -> DataFrame:
+    """Near misses with ``candidate_id`` (by distance, then type, source, target), the first tolerance that takes them in and ``ambiguous``."""
+    x = ambiguous(misses, keys).withColumn("first_tolerance", spatial.first_tolerance(F.col("distance"), tolerances))
+    return numbered(x, keys, ["distance", "type", "source", "target"], "candidate_id", "candidate_")
+
+
 def near_misses(curves: DataFrame, most: float, keys: list[str]) -> DataFrame:
     """(keys, type, source, target, t, distance): endpoint positions close to another one or to the inside of a curve that does not end there."""
     g = endpoint_groups(endpoints(curves), keys).withColumnRenamed("least", "id")
@@ -112,13 +225,10 @@ def near_misses(curves: DataFrame, most: float, keys: list[str]) -> DataFrame:
     boxes = geometry.with_bounds(curves)
     size = spatial.typical_extent(boxes)
     for c in E.AXES:
-        boxes = boxes.withColumn(f"c{c}", F.explode(spatial.cells(F.col(f"min_{c}") - most, F.col(f"max_{c}") + most, size)))
-        g = g.withColumn(f"c{c}", F.floor(F.col(c) / size))
-    points = g.select(*keys, "cx", "cy", F.col("id").alias("source"), F.col("x").alias("px"), F.col("y").alias("py"))
-    j = points.join(boxes, [*keys, "cx", "cy"])
+        boxes = boxes.withColumn(f"min_{c}", F.col(f"min_{c}") - most).withColumn(f"max_{c}", F.col(f"max_{c}") + most)
+    points = g.select(*keys, F.col("id").alias("source"), F.col("x").alias("px"), F.col("y").alias("py"))
+    j = spatial.point_box_pairs(points, boxes, keys, size + 2 * most)
     apart = F.lit(True)
-    for c in E.AXES:
-        apart = apart & (F.col(f"p{c}") >= F.col(f"min_{c}") - most) & (F.col(f"p{c}") <= F.col(f"max_{c}") + most)
     for i in (0, 2):
         apart = apart & ~((F.col("px") == F.col(f"x{i}")) & (F.col("py") == F.col(f"y{i}")))
     near = intersect.nearest(j.where(apart), [*keys, "source", "segment_id"])

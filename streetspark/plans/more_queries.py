@@ -146,39 +146,3 @@ def segment_crossings(spark, d):
     safe = F.when(den != 0, den)
     p = p.withColumn("t", E.cross(dx, dy, sx, sy) / safe).withColumn("u", E.cross(dx, dy, rx, ry) / safe)
     return p.where(c("t").between(0, 1) & c("u").between(0, 1)).select("shape_id", "a", "b", r9(c("a_x0") + c("t") * rx, "x", 8), r9(c("a_y0") + c("t") * ry, "y", 8))
-
-
-@query()
-def curve_intersections(spark, d):
-    return intersect.curve_intersections(A.seg(spark, d), ["shape_id"], 1e-9).select("shape_id", "a", "b", "kind", r9("t_a", digits=6), r9("t_b", digits=6), r9("x", digits=7), r9("y", digits=7))
-
-
-@query()
-def nearest_on_curve(spark, d):
-    """For every curve the place that is nearest to its middle control point."""
-    s = A.seg(spark, d).withColumn("px", F.col("x1")).withColumn("py", F.col("y1"))
-    return intersect.nearest(s, ["shape_id", "segment_id"]).select("shape_id", "segment_id", r9("t", digits=6), r9("distance", digits=8))
-
-
-@query()
-def overlap_evidence(spark, d):
-    """Curves with reversed and repeated ones: proven overlaps."""
-    s = A.seg(spark, d)
-    back = s.select((F.col("segment_id") + 1_000_000).alias("segment_id"), "shape_id", *[F.col(c).alias(n) for c, n in zip(("x2", "y2", "x1", "y1", "x0", "y0"), geometry.CONTROL, strict=True)])
-    again = s.select((F.col("segment_id") + 2_000_000).alias("segment_id"), "shape_id", *geometry.CONTROL)
-    return intersect.overlaps(s.select("segment_id", "shape_id", *geometry.CONTROL).union(back).union(again), ["shape_id"])
-
-
-@query()
-def near_misses(spark, d):
-    return topology.near_misses(A.seg(spark, d), 0.01, ["shape_id"]).select("shape_id", "type", "source", "target", r9("distance", digits=8))
-
-
-@query()
-def topology_fragments(spark, d):
-    """Curves split where they cross inside, with locations."""
-    s = A.seg(spark, d)
-    r = intersect.curve_intersections(s, ["shape_id"], 1e-9).where("kind = 'interior_crossing'")
-    both = r.select("shape_id", F.col("a").alias("segment_id"), F.col("t_a").alias("t"), "x", "y").union(r.select("shape_id", F.col("b"), F.col("t_b"), "x", "y"))
-    _, f = topology.topology(s, both, 0.05, ["shape_id"])
-    return f.select("shape_id", "segment_id", "piece", "fragment_id", "u", "v", r9("length", digits=6))

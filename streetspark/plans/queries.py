@@ -142,11 +142,6 @@ def adaptive_samples(spark, d):
     return geometry.adaptive_samples(A.seg(spark, d), TOL).select("segment_id", "t", r9("x"), r9("y"))
 
 
-@query()
-def arc_length(spark, d):
-    return A.seg(spark, d).select("segment_id", r9(geometry.arc_length()(*geometry.CONTROL), "length"))
-
-
 # polylines and orientation
 
 PIECES = A.TRAJ + """, pc AS (SELECT user_id, pos, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM traj WINDOW w AS (PARTITION BY user_id ORDER BY pos)),

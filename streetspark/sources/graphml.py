@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from xml.sax.saxutils import escape, quoteattr
+from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 #: Marks a string that holds a nested value as sorted, compact JSON.
 PREFIX = "__canonical_json__:"
@@ -48,17 +48,30 @@ def decoded(c, schema: str):
     return F.when(F.startswith(c, F.lit(PREFIX)), F.from_json(F.substring(c, len(PREFIX) + 1, 1_000_000_000), schema))
 
 
-def encoded(c):
-    """A nested column as a prefixed string."""
-    return F.concat(F.lit(PREFIX), F.to_json(c))
+def sorted_fields(c, kind):
+    """A nested column with the fields of its structs in the order of their names, as canonical JSON wants them."""
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: sorted_fields(x, kind.elementType))
+    if isinstance(kind, StructType):
+        made = F.struct(*[sorted_fields(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        return F.when(c.isNotNull(), made)
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(c)))
+    return c
+
+
+def encoded(c, kind):
+    """A nested column of that type as a prefixed string; keys are sorted."""
+    return F.concat(F.lit(PREFIX), F.to_json(sorted_fields(c, kind), {"ignoreNullFields": "false"}))
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, directed: bool = False) -> None:
-    """A folder with GraphML text: head, nodes, edges, foot, in one file, as the format is one document.
+    """A folder with GraphML text: head, nodes, edges, foot, in files whose names are in the order of the text.
 
-    Rows are made into XML on the executors and written in order by one task, streaming.
+    Rows are made into XML on the executors, sorted by ranges of (node or edge, id) and written by as many tasks as there are shuffle partitions;
+    the files one after the other are the document. Readers take the folder as it is.
     """
-    simple = lambda df: df.select(*[F.col(c) if t in KINDS else encoded(F.col(c)).alias(c) for c, t in df.dtypes])
+    simple = lambda df: df.select(*[F.col(f.name) if t in KINDS else encoded(F.col(f.name), f.dataType).alias(f.name) for f, (_, t) in zip(df.schema.fields, df.dtypes, strict=True)])
     nodes, edges = simple(nodes), simple(edges)
     n_cols = [(f"n{i}", c, KINDS[t]) for i, (c, t) in enumerate(x for x in nodes.dtypes if x[0] != "node_id")]
     e_cols = [(f"e{i}", c, KINDS[t]) for i, (c, t) in enumerate(x for x in edges.dtypes if x[0] not in ("u", "v", "edge_id"))]
@@ -84,7 +97,7 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, directed: bool
     )
     spark = nodes.sparkSession
     frame = spark.createDataFrame([(0, "", "\n".join(head)), (3, "", "</graph></graphml>")], "part int, o string, value string")
-    frame.union(n).union(e).coalesce(1).sortWithinPartitions("part", "o").select("value").write.text(path)
+    frame.union(n).union(e).repartitionByRange("part", "o").sortWithinPartitions("part", "o").select("value").write.text(path)
 
 
 def roundtrip_mismatches(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -96,10 +109,3 @@ def roundtrip_mismatches(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, Dat
             d = p.exceptAll(q).select(F.lit(what).alias("what"), F.lit(side).alias("side"), F.to_json(F.struct("*")).alias("row"))
             out = d if out is None else out.union(d)
     return out
-
-
-def attribute(name: str, value) -> str:
-    """One GraphML data value of a Python object, as ``encoded`` makes them."""
-    if isinstance(value, (list, dict, tuple)) or value is None:
-        value = PREFIX + json.dumps(value, sort_keys=True, separators=(",", ":"))
-    return f"<data key={quoteattr(name)}>{escape(str(value))}</data>"
