@@ -13,6 +13,8 @@ SPACES = f"[{SPACE_CLASS}]+"
 WORD = f"[^{SPACE_CLASS}]+"
 #: Up to so many rows of a few short columns are broadcast; beyond, a join shuffles both sides.
 BROADCAST_ROWS = 1_000_000
+#: Up to so many narrow rows one task may get whole.
+FEW_ROWS = 100_000
 #: At most so many frequent keys are joined by broadcast.
 HOT_KEYS = 4096
 
@@ -86,9 +88,9 @@ def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     Keys that a HOT_KEYS-th of the rows of ``left`` have, no more than HOT_KEYS then, are joined by broadcast, so that no task gets all rows of one.
     """
     n = left.count()
-    if n <= 1000:
+    if n <= FEW_ROWS:
         return left.join(right, key, "left")
-    hot = stored(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1000, n // HOT_KEYS)).select(key), "hot-keys")
+    hot = stored(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > n // HOT_KEYS).select(key), "hot-keys")
     if hot.isEmpty():
         return left.join(right, key, "left")
     hot = F.broadcast(hot)

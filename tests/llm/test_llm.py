@@ -88,7 +88,7 @@ def test_within_is_edit_distance(spark):
         rows.append(("".join(s), "".join(t)))
     df = spark.createDataFrame(rows, "a string, b string")
     tau = line_dedup.TAU
-    side = lambda c: F.struct(F.length(c).alias("n"), F.size(line_dedup.words_of(F.col(c))).alias("m"), line_dedup.word_parities(line_dedup.words_of(F.col(c))).alias("p"))
+    side = lambda c: F.struct(F.length(c).alias("n"), F.size(line_dedup.words_of(F.col(c))).alias("m"), line_dedup.word_parities(line_dedup.word_codes(line_dedup.words_of(F.col(c)))).alias("p"))
     flat = lambda c: F.struct(F.col(f"{c}.n").alias("n"), F.col(f"{c}.m").alias("m"), F.col(f"{c}.p.p0").alias("p0"), F.col(f"{c}.p.p1").alias("p1")).alias(c)
     keys = F.arrays_overlap(line_dedup.index_rows(F.col("a"), F.length("a")), line_dedup.probe_rows(F.col("b"), F.length("b")))
     df = df.select("a", "b", line_dedup.within(F.col("a"), F.col("b")).alias("w"), (F.levenshtein("a", "b") <= tau).alias("e"), side("a").alias("i"), side("b").alias("j"), keys.alias("k"))
