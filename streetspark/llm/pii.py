@@ -1,13 +1,14 @@
 """Personal data by weak supervision (native).
 
-Base spans come from fixed patterns and checks. Every other digit run that
-looks like one of the kinds is a candidate, on which labelers vote 1, -1 or 0
-(abstain): a shape regex, a gazetteer of prefixes, the words around it, a
-checksum, and the separators. Base spans are candidates too. Per kind, expectation-maximisation over the counts
+Base spans come from fixed patterns and checks. Everything else that
+looks like one of the kinds (also addresses written out, IPv6, national phone numbers) or like a secret is a candidate, on which five labelers vote 1, -1 or 0
+(abstain): a shape regex, a gazetteer of prefixes or endings, the words around it, a
+check of its content, and the separators. Base spans are candidates too. Per kind, expectation-maximisation over the counts
 of vote patterns (at most 3^5) estimates how reliable each labeler is; its posteriors train
 the final span classifier, a naive Bayes model over votes, length and the
 sign before the span. The spans it accepts that do not overlap a base
-span of any kind are added; base spans stay.
+span of any kind are added, cards only if they pass Luhn; base spans stay. Of added spans that overlap the first kind as listed wins.
+Names and street addresses have no labelers: the four languages would need dictionaries that are not at hand.
 
 All texts are read whole, in one pass; candidates are stored, their patterns
 counted with map-side combining, and the accepted patterns joined back.
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import let, stored, text_of
 
+#: The kinds with base patterns.
 KINDS = ["email", "ip", "card", "phone"]
+#: All kinds, in the order of spans.
+EVERY = [*KINDS, "secret"]
 MARK = "\x01"
 #: The base patterns; look-behinds and possessive repeats find the same leftmost matches in linear time.
 PATTERNS = {
@@ -34,14 +38,30 @@ PATTERNS = {
 }
 #: Wider patterns, for candidates.
 WIDER = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]{1,63}){1,5}",
+    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:.])",
     "card": r"(?<![0-9A-Za-z])(?:(?:[0-9]{4}[\x20-]){3}[0-9]{4}|[0-9]{13,19})(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|0[1-9](?:[\x20.-][0-9]{2}){4}|0[1-9][0-9]{1,4}[\x20/-][0-9]{4,9}|[6789][0-9]{2}(?:[\x20.-][0-9]{3}){2})(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}+={0,2}(?![A-Za-z0-9+/_=-])",
 }
 CUES = {
+    "email": r"(?i)(?:mail|contact|write|kontakt|correo|courriel|escriba)\W*$",
+    "ip": r"(?i)(?:\bip|host|server|address|adresse|servidor|serveur)\W*$",
     "card": r"(?i)(?:card|visa|credit|karte|tarjeta|carte)\W*$",
     "phone": r"(?i)(?:phone|call|tel|mobile|telefon|llame)\W*$",
+    "secret": r"(?i)(?:token|key|secret|passw(?:or)?d|pwd|bearer|auth|credential)\W*$",
 }
 AGAINST = r"(?i)(?:token|key|hash|isbn|order|invoice|id|no|nr|version)\W*$"
+#: Gazetteers: (beginnings or endings that speak for a kind, against it).
+GAZETTEER = {
+    "email": (r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$", r"(?i)(?:png|jpg|gif|js|css)$"),
+    "ip": (r"(?i)^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|20[0-9a-f]{2}:|fe80:|fd)", r"^(?:0\.|127\.|1\.0\.|255\.)"),
+    "card": (r"^(4|5[1-5]|2[2-7]|3[47]|6(011|5))", r"^(0|7|9|1)"),
+    "phone": (r"(555|800|888)[0-9]{4}$", r"^(0000|1234|9999)"),
+    "secret": (r"^(?:AKIA|ASIA|AIza|gh[pousr]_|glpat-|sk-|sk_|pk_|rk_|xox[abp]-|eyJ)", r"^[A-Za-z]+$"),
+}
+
+
 LABELERS = 5
 ROUNDS = 25
 
@@ -97,33 +117,34 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def votes(kind: str, x: Column) -> Column:
-    """Five votes on a candidate."""
+    """Five votes on a candidate: shape, gazetteer, context, content, separators."""
     d, m = digits_of(x["match"]), x["match"]
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
-    cue = F.when(x["before"].rlike(CUES[kind]), 1).when(x["before"].rlike(AGAINST), -1).otherwise(0)
-    even = vote(m.rlike(r"^[0-9]+$") | m.rlike(r"^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$"), m.rlike(r"[ -][0-9]{1,2}[ -]"))
+    cue = F.when(x["before"].rlike(CUES[kind]), 1).when(x["before"].rlike(AGAINST if kind != "secret" else r"(?i)(?:sha|md5|commit|digest|hash|checksum)\W*$"), -1).otherwise(0)
+    listed = vote((d if kind in ("card", "phone") else m).rlike(GAZETTEER[kind][0]), (d if kind in ("card", "phone") else m).rlike(GAZETTEER[kind][1]))
+    if kind == "email":
+        shape = vote(m.rlike(PATTERNS["email"]) | m.rlike(r"(?i)[(\[]at[)\]]"), m.rlike(r"\.\.|^[.-]"))
+        return F.array(shape, listed, cue, vote(F.length(m).between(6, 80), F.length(m) > 160), vote(m.rlike(r"\.[A-Za-z]{2,10}$"), m.rlike("[0-9]$")))
+    if kind == "ip":
+        four = m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+        shape, content = vote(four | m.contains(":"), F.length(d) < 5), vote(m.contains(":") | passes("ip", m), m.rlike(r"^[0-9.]+$"))
+        return F.array(shape, listed, cue, content, vote(~m.rlike(r"(^|\.)0[0-9]"), m.rlike(r"(^|\.)0[0-9]")))
     if kind == "card":
-        return F.array(
-            vote(F.length(d) == 16, ~F.length(d).isin(13, 14, 15, 16, 19)),
-            vote(d.rlike("^(4|5[1-5]|2[2-7]|3[47]|6(011|5))"), d.rlike("^(0|7|9|1)")),
-            cue,
-            F.when(luhn(d), 1).otherwise(-1),
-            even,
-        )
-    return F.array(
-        vote(m.rlike(r"^(\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$"), F.length(d) > 13),
-        vote(d.rlike("(555|800|888)[0-9]{4}$"), d.rlike("^(0000|1234|9999)")),
-        cue,
-        vote(F.length(d).between(10, 12), ~F.length(d).between(8, 15)),
-        vote(m.rlike(r"[()+]"), m.rlike(r"^[0-9]{4}-[0-9]{2}-")),
-    )
+        even = vote(m.rlike(r"^[0-9]+$") | m.rlike(r"^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$"), m.rlike(r"[ -][0-9]{1,2}[ -]"))
+        return F.array(vote(F.length(d) == 16, ~F.length(d).isin(13, 14, 15, 16, 19)), listed, cue, F.when(luhn(d), 1).otherwise(-1), even)
+    if kind == "phone":
+        shape = vote(m.rlike(r"^(\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$") | m.rlike(r"^(\+[0-9]{1,3} ?|0)[1-9]"), F.length(d) > 13)
+        return F.array(shape, listed, cue, vote(F.length(d).between(9, 12), ~F.length(d).between(8, 15)), vote(m.rlike(r"[()+]"), m.rlike(r"^[0-9]{4}-[0-9]{2}-")))
+    hexes = m.rlike("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$")
+    mixed = m.rlike("[0-9].*[0-9].*[0-9]") & m.rlike("[A-Za-z].*[A-Za-z].*[A-Za-z]")
+    return F.array(vote(hexes | m.rlike(GAZETTEER["secret"][0]), ~mixed), listed, cue, vote(mixed, ~mixed), vote(x["before"].rlike(r"[=:]\s*[\"']?$"), m.rlike("[/-][A-Za-z]{2,}[/-]")))
 
 
 def candidates(text: Column, kind: str) -> Column:
     """Array of (kind, start, end, votes, size, sign, base)."""
 
     def row(x: Column, base: bool) -> Column:
-        n = F.length(digits_of(x["match"]))
+        n = F.length(digits_of(x["match"])) if kind in ("card", "phone") else F.ceil(F.length(x["match"]) / 4).cast("int")
         return F.struct(
             F.lit(kind).alias("kind"),
             x["start"].alias("start"),
@@ -134,10 +155,8 @@ def candidates(text: Column, kind: str) -> Column:
             F.lit(base).alias("base"),
         )
 
-    return F.concat(
-        F.transform(base_spans(text, kind), lambda x: row(x, True)),
-        F.transform(found(text, WIDER[kind]), lambda x: row(x, False)),
-    )
+    wide = F.transform(found(text, WIDER[kind]), lambda x: row(x, False))
+    return F.concat(F.transform(base_spans(text, kind), lambda x: row(x, True)), wide) if kind in KINDS else wide
 
 
 def reliabilities(patterns: DataFrame) -> DataFrame:
@@ -219,8 +238,8 @@ def find(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, base (the base spans) and spans (all), arrays of (kind, start, end) in order."""
     safe = F.translate(text_of(docs["text"]), MARK, "\x02")
     kinds = [_named(base_spans(F.col("text"), k), k) for k in KINDS]
-    wide = F.concat(candidates(F.col("text"), "card"), candidates(F.col("text"), "phone"))
-    x = docs.select(docs["doc_id"].alias("doc_id"), F.when(safe.rlike("[0-9@]"), safe).otherwise("").alias("text"))
+    wide = F.concat(*[candidates(F.col("text"), k) for k in EVERY])
+    x = docs.select(docs["doc_id"].alias("doc_id"), F.when(safe.rlike(r"[0-9@]|[(\[]at[)\]]"), safe).otherwise("").alias("text"))
     x = x.select("doc_id", F.concat(*kinds).alias("base"), wide.alias("cands"))
     x = stored(x, "pii")
     cands = x.select(F.explode("cands").alias("c")).select("c.*")
@@ -233,15 +252,20 @@ def find(docs: DataFrame) -> DataFrame:
     def free(c: Column) -> Column:
         return ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
 
-    good = F.filter(
-        "cands", lambda c: ~c["base"] & F.array_contains("accepted", F.struct(c["kind"], c["votes"], c["size"], c["sign"])) & free(c)
-    )
-    good = F.transform(good, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    y = y.select("doc_id", "base", F.when(F.size("cands") > 0, good).otherwise(F.slice("base", 1, 0)).alias("more"))
-    place = {k: i for i, k in enumerate(KINDS)}
+    known = lambda c: F.array_contains("accepted", F.struct(c["kind"], c["votes"], c["size"], c["sign"]))
+    true = lambda c: (c["kind"] != "card") | (F.get(c["votes"], F.lit(3)) == 1)
+    good = F.filter("cands", lambda c: ~c["base"] & known(c) & true(c) & free(c))
+    plain = F.transform(good, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+
+    def apart(spans: Column) -> Column:
+        """Without those that overlap an earlier one of the array, which is in the order of kinds."""
+        taken = lambda kept, c: F.exists(kept, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        return F.aggregate(spans, F.slice(spans, 1, 0), lambda kept, c: F.when(taken(kept, c), kept).otherwise(F.array_append(kept, c)))
+
+    y = y.select("doc_id", "base", F.when(F.size("cands") > 0, let(plain, apart)).otherwise(F.slice("base", 1, 0)).alias("more"))
 
     def ordered(spans: Column) -> Column:
-        number = lambda s: F.when(s["kind"] == "email", place["email"]).when(s["kind"] == "ip", place["ip"]).when(s["kind"] == "card", place["card"]).otherwise(place["phone"])
+        number = lambda s: F.array_position(F.array(*map(F.lit, EVERY)), s["kind"])
         keyed = F.array_sort(F.transform(spans, lambda s: F.struct(number(s).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
         return F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
@@ -252,4 +276,4 @@ def op8(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     x = find(table(spark, sf_dir, "documents"))
-    return x.select("doc_id", *map(_count, KINDS), F.sha2(join_spans(F.col("base")), 256).alias("base_sha256"), join_spans(F.col("spans")).alias("spans"))
+    return x.select("doc_id", *map(_count, KINDS), F.sha2(join_spans(F.col("base")), 256).alias("base_sha256"), join_spans(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda x: x["kind"] == "secret")).cast("long").alias("n_secret"))
