@@ -4,14 +4,14 @@ Per document a few statistics are computed inside the row, with array
 expressions only. KLL sketches of each statistic are built per
 (lang, source) - they merge, so a hot source is combined on the map side -
 and merged again per lang and over all rows. The upper fence of a group,
-``q(hi) + spread * (q(hi) - q(lo))``, replaces a fixed cutoff. Groups with
-fewer than ``min_group`` documents use the fence of their language, and
-languages with too few that of the corpus. Documents are then joined with
-their fences and filtered.
+``q(hi) + spread * max(q(hi) - q(lo), least)``, replaces a fixed cutoff; ``least`` is the spread that a statistic has in groups
+that have none. A group's fence is drawn towards that of its language, and this towards that of the corpus, as
+if ``weight`` documents spoke for it; so a small group leans on the larger one, and no size is a limit. Documents are then joined with
+their fences, which are broadcast up to a million groups, and filtered.
 
 Nulls: a null text has no words (and so fails the base rules); null lang or
 source form a group of their own. Empty table: empty result. Repeated rows
-are judged one by one. Extra columns pass through; ``score`` adds columns
+are judged one by one, ties with a fence are kept, and very long texts are like others. Extra columns pass through; ``score`` adds columns
 only under names that are free.
 """
 
@@ -20,17 +20,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, let, stored, text_of, words_of
+from .common import SPACE_CLASS, SPACES, broadcast_bounded, let, stored, text_of, words_of
 
 SYMBOLS = r"[^#*$%&|<>]+"
-#: Statistics that have adaptive fences, with the least fence each may have
-#: (a group without any spread must not reject what is barely above its median).
+#: Statistics that have adaptive fences, with the least spread each is given.
 FENCED = {
-    "symbol_ratio": 0.1,
-    "mark_ratio": 0.2,
-    "mean_word": 12.0,
-    "dup_line_ratio": 0.5,
-    "upper_ratio": 0.4,
+    "symbol_ratio": 0.017,
+    "mark_ratio": 0.034,
+    "mean_word": 1.2,
+    "dup_line_ratio": 0.084,
+    "upper_ratio": 0.067,
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
@@ -106,7 +105,7 @@ def statistics(text: Column) -> Column:
     return let(let(words_of(text), body), lambda x: let(counts, lambda y: more(x, y)))
 
 
-def fences(stats: DataFrame, low: float = 0.25, high: float = 0.75, spread: float = 6.0, min_group: int = 50) -> DataFrame:
+def fences(stats: DataFrame, low: float = 0.25, high: float = 0.75, spread: float = 6.0, weight: int = 50) -> DataFrame:
     """Per (lang, source) a struct of upper fences, from KLL sketches merged per language and over all.
 
     ``stats`` has lang, source, base_failed and the columns of FENCED. Documents that
@@ -124,24 +123,27 @@ def fences(stats: DataFrame, low: float = 0.25, high: float = 0.75, spread: floa
         def fence(c: str) -> Column:
             a = F.kll_sketch_get_quantile_double(c, F.lit(low))
             b = F.kll_sketch_get_quantile_double(c, F.lit(high))
-            return F.when(F.col("n") > 0, F.greatest(b + F.lit(spread) * (b - a), F.lit(FENCED[c])))
+            return F.when(F.col("n") > 0, b + F.lit(spread) * F.greatest(b - a, F.lit(FENCED[c])))
 
         keys = [c for c in ("lang", "source") if c in df.columns]
-        return df.select(*keys, F.when(F.col("n") >= min_group, F.struct(*[fence(c).alias(c) for c in FENCED])).alias(name))
+        return df.select(*keys, F.struct(F.col("n"), *[fence(c).alias(c) for c in FENCED]).alias(name))
+
+    def drawn(own: Column, to: Column, c: str) -> Column:
+        n = F.coalesce(own["n"], F.lit(0)).cast("double")
+        return (n * F.coalesce(own[c], F.lit(0.0)) + weight * to) / (n + weight)
 
     groups = stats.select("lang", "source").distinct()
     g, l, t = (cut(x, y).alias(y) for x, y in ((one, "g"), (by_lang, "l"), (total, "t")))
     same = lambda a, b, *k: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in k]
     joined = groups.alias("x").join(g, same("x", "g", "lang", "source"), "left")
     joined = joined.join(l, same("x", "l", "lang"), "left").join(F.broadcast(t), F.lit(True), "left")  # one row
-    return joined.select(
-        F.col("x.lang").alias("lang"), F.col("x.source").alias("source"), F.coalesce("g.g", "l.l", "t.t").alias("fence")
-    )
+    fence = F.struct(*[drawn(F.col("g.g"), drawn(F.col("l.l"), F.col("t.t")[c], c), c).alias(c) for c in FENCED])
+    return stored(joined.select(F.col("x.lang").alias("lang"), F.col("x.source").alias("source"), fence.alias("fence")), "quality-fences")
 
 
 def verdict(stats: DataFrame, limits: DataFrame) -> DataFrame:
     """``stats`` with ``kept``: false where the base rules fail or a statistic is beyond its fence."""
-    s, f = stats.alias("s"), limits.alias("f")
+    s, f = stats.alias("s"), broadcast_bounded(limits).alias("f")
     on = F.col("s.lang").eqNullSafe(F.col("f.lang")) & F.col("s.source").eqNullSafe(F.col("f.source"))
     out = F.lit(False)
     for c in FENCED:
