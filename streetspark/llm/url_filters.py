@@ -4,8 +4,7 @@ Each rule is a regular expression over ``host + path`` together with the
 literal tokens (runs of letters and digits) that every matching URL must
 contain whole. The rule is filed under the one of them that is rarest in the
 corpus of URLs. The tokens of a URL fetch candidate rules by an equi-join and
-only those run their regular expression. A rule without tokens is filed
-under '', a token of every URL.
+only those run their regular expression. Rules without tokens, if there are any, are tried on every URL.
 
 URLs are judged once per distinct URL and joined back. Nulls: a null URL, or
 one without ``://``, has empty host and path and is allowed; an empty rule
@@ -29,14 +28,19 @@ HOST_RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: The method's own block rules, for URLs that no host rule fits: (name, regular expression over host + path, whole tokens).
-PATTERN_RULES = [
-    ("spam-farm", r"^([^/]*\.)?spam-farm\.", ["spam", "farm"]),
-    ("ad-server", r"^([^/]*\.)?(ads|adserver)\.", []),
-    ("casino", r"[./-]casino[./-]", ["casino"]),
-    ("link-farm", r"^([^/]*\.)?link-farm\.", ["link", "farm"]),
-    ("tracker", r"/track/pixel", ["track"]),
-]
+#: The method's own block rules, for URLs that no host rule fits: families of hosts by the literal tokens that name them, each between
+#: dots, hyphens or slashes. A table of the same columns (``rule_table``) may hold any number of others.
+FAMILIES = {
+    "adult": ["adult", "porn", "xxx", "sex"],
+    "pharma": ["pills", "pharma", "viagra", "meds"],
+    "gambling": ["casino", "bets", "betting", "poker", "slots", "lottery"],
+    "ads": ["ads", "adserver", "adclick", "banner", "doubleclick"],
+    "tracking": ["track", "tracker", "pixel", "beacon", "telemetry"],
+    "spam": ["spam", "linkfarm", "clickbait", "freebie"],
+    "malware": ["malware", "phish", "phishing", "warez", "crack"],
+}
+PATTERN_RULES = [(f"{family}:{token}", rf"^([^/]*[.-])?{token}[.-]", [token]) for family, tokens in FAMILIES.items() for token in tokens]
+PATTERN_RULES += [("spam:link-farm", r"^([^/]*\.)?link-farm\.", ["link", "farm"]), ("gambling:casino-path", r"/casino[./-]", ["casino"]), ("tracking:pixel-path", r"/track/pixel", ["track"])]
 
 
 def host_rules(rules=HOST_RULES) -> list[tuple]:
@@ -83,9 +87,14 @@ def index_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return filed.groupBy("kind", "verdict", "name", "regex").agg(F.coalesce(rarest, F.lit("")).alias("key"))
 
 
+def tokenless(rules: DataFrame) -> bool:
+    """Whether there are rules without tokens, which every URL has to try."""
+    return not rules.where(F.size("tokens") == 0).isEmpty()
+
+
 def url_tokens(urls: DataFrame, *carry: str) -> DataFrame:
     both = F.lower(F.concat("host", "path"))
-    tokens = F.array_distinct(F.concat(F.split(both, "[^a-z0-9]+"), F.array(F.lit(""))))
+    tokens = F.array_remove(F.array_distinct(F.split(both, "[^a-z0-9]+")), "")
     return urls.select(*carry, F.explode(tokens).alias("token"))
 
 
@@ -95,7 +104,12 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id") -> DataFrame
     urls = p.select("url").distinct()
     urls = urls.select("url", host_of(F.coalesce("url", F.lit(""))).alias("host"), path_of(F.coalesce("url", F.lit(""))).alias("path"))
     filed = index_rules(urls, rules)
-    fits = url_tokens(urls, "url", "host", "path").join(filed, F.col("token") == F.col("key"))
+    rule = ["kind", "verdict", "name", "regex"]
+    columns = ["url", "host", "path", *rule]
+    fits = url_tokens(urls, "url", "host", "path").join(filed.where("key <> ''"), F.col("token") == F.col("key")).select(*columns)
+    loose = filed.where("key = ''").select(*rule)
+    if tokenless(rules):
+        fits = fits.union(urls.join(loose, F.lit(True)).select(*columns))
     fits = fits.where(F.expr("concat(host, path) RLIKE regex"))
     best = F.when(F.col("kind") == "host", F.struct(F.length("name").alias("n"), F.col("name"), F.col("verdict")))
     named = F.when(F.col("kind") == "pattern", F.col("name"))
