@@ -18,13 +18,14 @@ columns are not archived.
 
 from __future__ import annotations
 
+import gzip
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import hot_join, shared_dir, stored
 
 CRLF = "\r\n"
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -39,8 +40,9 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*map(part, range(4))), DIGITS, BASE32)
 
 
-def _urn(page_id: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit(""))))
+def _urn(page_id: Column, sha256: Column, number: Column) -> Column:
+    """A record's id: by page, payload and number, as rows may be repeated."""
+    h = F.md5(F.concat_ws(":", F.lit("page"), F.coalesce(page_id.cast("string"), F.lit("")), sha256, number.cast("string")))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
@@ -55,7 +57,9 @@ def heads_of(pages: DataFrame, least: int) -> DataFrame:
         F.length("payload").cast("long").alias("n"),
     )
     last = x.groupBy("sha256").agg(F.max("page_id").alias("of"))
-    x = x.join(last, "sha256")
+    x = hot_join(stored(x, "warc-facts"), stored(last, "warc-responses"), "sha256")
+    # rows that repeat a page and its payload are numbered, so that no record's id is there twice
+    x = x.withColumn("number", F.row_number().over(Window.partitionBy("page_id", "sha256").orderBy("url")))
     revisit = (F.col("n") >= least) & F.col("of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("of"))
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF * 2)
@@ -65,13 +69,13 @@ def heads_of(pages: DataFrame, least: int) -> DataFrame:
     head = F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", _urn(F.col("page_id"))),
+        line("WARC-Record-ID", _urn(F.col("page_id"), F.col("sha256"), F.col("number"))),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
         F.when(
             revisit,
-            F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _urn(F.col("of"))), line("WARC-Refers-To-Page-ID", F.col("of").cast("string"))),
+            F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _urn(F.col("of"), F.col("sha256"), F.lit(1))), line("WARC-Refers-To-Page-ID", F.col("of").cast("string"))),
         ).otherwise(""),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         line("Content-Type", F.lit("application/http; msgtype=response")),
@@ -120,13 +124,15 @@ def export_files(heads: DataFrame, blobs: DataFrame, path: str, compression: str
 
 
 def parse(data: bytes) -> list[dict]:
-    """The records of a WARC file."""
+    """The records of a WARC file, which may be compressed, whole or record by record. Names of fields are taken without regard to case."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     out, at = [], 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at) + 4
         lines = data[at:end].decode().split(CRLF)
-        head = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
-        block = data[end : end + int(head["Content-Length"])]
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if ":" in x)}
+        block = data[end : end + int(head["content-length"])]
         http, _, payload = block.partition(b"\r\n\r\n")
         out.append({"fields": head, "http": http.decode() + CRLF * 2, "payload": payload})
         at = end + len(block) + 4
@@ -140,7 +146,7 @@ def import_files(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             for content in pdf["content"]:
                 found = parse(content)
-                get = lambda k: [x["fields"].get(k) for x in found]
+                get = lambda k: [x["fields"].get(k.lower()) for x in found]
                 yield pd.DataFrame(
                     {
                         "warc_type": get("WARC-Type"),
