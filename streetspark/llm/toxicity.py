@@ -28,13 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_of
 
 MAX_FIT = 20_000
-MAX_TERMS = 500
 STEM = range(4, 8)
 FUZZY_FROM = 5
 WINDOW = 40
@@ -220,7 +220,7 @@ def learn_terms(rows: DataFrame) -> list[str]:
     for s in sorted(toxic, key=lambda s: (len(s), s)):
         if not any(s[:n] in terms for n in STEM if n < len(s)):
             terms.append(s)
-    return sorted(sorted(terms, key=lambda s: (-toxic[s], s))[:MAX_TERMS])
+    return sorted(terms)  # as many as the sample has; it bounds them
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2) -> np.ndarray:
@@ -261,14 +261,14 @@ def score(docs: DataFrame, model: tuple[list[str], list[float]]) -> DataFrame:
     """(doc_id, score) per row."""
     terms, weights = model
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, w = Lexicon(terms), np.array(weights)
-        for pdf in batches:
-            z = lexicon.features(list(pdf["text"])) @ w[:-1] + w[-1]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
+        for batch in batches:  # ids stay Arrow integers, nulls and all
+            z = lexicon.features(batch.column("text").to_pylist()) @ w[:-1] + w[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
 
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs["text"]).alias("text"))
-    return d.mapInPandas(run, "doc_id long, score double")
+    return d.mapInArrow(run, "doc_id long, score double")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

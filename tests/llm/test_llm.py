@@ -436,3 +436,41 @@ def test_likeness_is_one_measure_at_every_size(spark):
     rows = df.select(fingerprints.likeness(F.col("x"), F.col("y")), fingerprints.as_string(F.col("x"))).collect()
     assert all(0.9 < r[0] < 1 for r in rows), rows
     assert all(r[1].count(":") == 2 for r in rows)
+
+
+def test_pii_adds_what_base_patterns_leave_out(spark):
+    import random
+
+    random.seed(4)
+    token = lambda: "".join(random.choice("0123456789abcdef") for _ in range(40))
+    card = "4111 1111 1111 1111"
+    rows, planted = [], {}
+    for i in range(120):
+        kind = ("secret", "email", "phone", "none", "digits")[i % 5]
+        what = {"secret": token(), "email": f"anna{i} (at) mail.example.org", "phone": "01 23 45 67 89", "none": "nothing", "digits": str(10**15 + 7919 * i)}[kind]
+        before = {"secret": 'some text with token = "', "email": "please mail ", "phone": "telefon ", "none": "x ", "digits": "y "}[kind]
+        text = f"{before}{what}\" and more; {card} and a.b{i}@c.org"
+        rows.append((i, text, "en", "s", 1))
+        if kind not in ("none", "digits"):
+            planted[i] = (kind, len(before), len(before) + len(what))
+    of = lambda r, c: [(s["kind"], s["start"], s["end"]) for s in r[c]]
+    got = {r["doc_id"]: [s for s in of(r, "spans") if s not in of(r, "base")] for r in pii.find(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, *_ in rows:
+        assert got[i] == ([planted[i]] if i in planted else []), (i, rows[i][1], got[i])
+
+
+def test_ids_beside_nulls_stay_exact(spark):
+    big = 2**53 + 1
+    d = spark.createDataFrame([(big, BASE, "en", "s", 1), (None, BASE, "en", "s", 1)], SCHEMA).coalesce(1)
+    assert [r["doc_id"] for r in toxicity.score(d, ([], [0.0] * 5 + [-5.0])).collect()] == [big, None]
+    assert {(r["doc_id"], r["component_id"]) for r in ngram_jaccard.groups(d).collect()} == {(big, big), (None, big)}
+
+
+def test_warc_reads_compressed_files_and_numbers_repeated_rows(spark, tmp_path):
+    rows = [(1, "http://a/", b"x"), (1, "http://a/", b"x"), (1, "http://b/", b"y"), (2, "http://a/", b"")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, payload binary")
+    heads, blobs = warc.read_archive(spark, warc.write_archive(pages, str(tmp_path / "a")))
+    warc.export_files(heads, blobs, str(tmp_path / "w"), "gzip")
+    back = warc.import_files(spark, str(tmp_path / "w")).collect()
+    assert len({r["record_id"] for r in back}) == len(rows) == len(back)
+    assert sorted((r["page_id"], r["payload"]) for r in back) == [("1", b"x"), ("1", b"x"), ("1", b"y"), ("2", b"")]
