@@ -18,12 +18,12 @@ def test_flagship(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", ["bezier_point", "orientation_entropy", "circuity_decomposition", "endpoint_audit", "snapping_sensitivity", "segment_crossings"])
+@pytest.mark.parametrize("name", ["bezier_point", "orientation_entropy", "circuity_decomposition", "endpoint_audit", "snapping_sensitivity", "segment_crossings", "anomaly_registry", "id_reconciliation", "keep_apart", "reconciled_intersections", "polyline_crossings", "event_rollup", "compact_ranks"])
 def test_like_duckdb(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("embeddings", "lineitem", "orders", "events"):
+    for t in ("embeddings", "lineitem", "orders", "events", "supplier"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = c.sql(entry.oracle_sql()[name]).df()
     got = entry.queries()[name](spark, DATA).toPandas()[list(want.columns)]
