@@ -474,3 +474,42 @@ def test_warc_reads_compressed_files_and_numbers_repeated_rows(spark, tmp_path):
     back = warc.import_files(spark, str(tmp_path / "w")).collect()
     assert len({r["record_id"] for r in back}) == len(rows) == len(back)
     assert sorted((r["page_id"], r["payload"]) for r in back) == [("1", b"x"), ("1", b"x"), ("1", b"y"), ("2", b"")]
+
+
+def test_pipeline_run_against_brute_force(spark, tmp_path):
+    """Base rules, line dedup and near copies by brute force, mixing by its operator on that, tokens by the library."""
+    import random
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sentencepiece = pytest.importorskip("sentencepiece")
+    random.seed(9)
+    vocabulary = ["".join(random.choice("abcdefghiklmnoprstu") for _ in range(random.randint(2, 9))) for _ in range(500)]
+    line = lambda n: " ".join(random.choice(vocabulary) for _ in range(n))
+    shared = line(25)
+    rows = []
+    for i in range(24):
+        text = "\n".join([line(30), shared if i % 3 == 0 else line(20), line(25)])
+        rows.append((i, text, ("en", "de")[i % 2], f"src{i % 4}", len(text)))
+    for i, of in ((100, 1), (101, 2)):  # one word of 75 replaced, in a line by itself, so that lines differ and documents do not
+        words_ = rows[of][1].split(" ")
+        words_[len(words_) // 2] = "replacedword"
+        rows.append((i, " ".join(words_), "en", "src1", 1))
+    rows += [(200, "too few words", "en", "src1", 1), (201, "again and " * 40, "en", "src1", 1), (202, None, "en", "src1", 0), (203, rows[4][1], "de", "src0", 1)]
+    at = str(tmp_path / "sf")
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{at}/documents.parquet")
+    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, at).collect()}
+
+    kept = [r for r in rows if r[1] and len(words(r[1])) >= 10 and 100 * repeats(words(r[1])) <= 20 * len(words(r[1]))]
+    gone = brute_removed(kept)
+    left = []
+    for i, t, lang, source, n in kept:
+        cut = [p for p in range(t.count("\n") + 1) if (i, p) in gone]
+        u = "\n".join(x for p, x in enumerate(t.split("\n")) if p not in cut)
+        if not cut or words(u):
+            left.append((i, u, lang, source, len(u) if cut else n))
+    alone = {c for _, n, c in jaccard(left)}
+    left = [r for r in left if r[0] in alone]
+    mixed = {r["doc_id"]: r["text"] for r in mixing.mixed_docs(spark.createDataFrame(left, SCHEMA), corpus_pipeline.MIX_FRACTION).collect()}
+    assert {i: r["text"] for i, r in out.items()} == mixed and 0 < len(mixed) <= len(left)
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    assert all(r["token_ids"] == sp.encode(r["text"]) and r["n_tokens"] == len(r["token_ids"]) for r in out.values())
