@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = f"[{SPACE_CLASS}]+"
 WORD = f"[^{SPACE_CLASS}]+"
+#: What ``stored`` has written in this process.
+WRITTEN: list[str] = []
 #: Up to so many rows of a few short columns are broadcast; beyond, a join shuffles both sides.
 BROADCAST_ROWS = 1_000_000
 #: Up to so many narrow rows one task may get whole.
@@ -57,6 +60,7 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     """``df`` written as Parquet into the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     schema = df.schema
     writer = df.write
     if partition_by:
@@ -66,6 +70,19 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return read.select(*[read[f"`{c}`"] for c in df.columns])
 
 
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes all that ``stored`` wrote after the first ``since`` paths of WRITTEN, when results no longer depend on it.
+
+    The driver's collector is asked to run, so that Spark drops the shuffle files of plans that are gone.
+    """
+    for at in WRITTEN[since:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del WRITTEN[since:]
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*stored_frames: DataFrame) -> None:
     """Deletes what ``stored`` wrote, once nothing reads it any more."""
     for df in stored_frames:
