@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,17 @@ def ensure_checkpoints(df: DataFrame) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again.
+
+    A checkpoint would keep the plan's constraints, which double with every round of a loop.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def ends(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, node, other, edge_id): every edge from both of its ends, a loop twice."""
     pair = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("other")), F.struct(F.col("v").alias("node"), F.col("u").alias("other")))
@@ -35,17 +48,16 @@ def degrees(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) -
 
 def components(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) -> DataFrame:
     """(keys, node, component): the least node that is connected; labels spread and are shortened by pointer jumping."""
-    ensure_checkpoints(edges)
-    both = ends(edges, keys).select(*keys, "node", "other").distinct().checkpoint()
+    both = stored(ends(edges, keys).select(*keys, "node", "other").distinct())
     labels = both.select(*keys, "node").distinct()
     if nodes is not None:
         labels = labels.union(nodes.select(*keys, F.col("node_id").alias("node"))).distinct()
-    labels = labels.withColumn("label", F.col("node")).checkpoint()
+    labels = stored(labels.withColumn("label", F.col("node")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "other"), [*keys, "other"]).groupBy(*keys, "node").agg(F.min("label").alias("m"))
         new = labels.join(near, [*keys, "node"], "left").select(*keys, "node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         hop = labels.select(*keys, F.col("node").alias("label"), F.col("label").alias("further"))
-        new = new.join(hop, [*keys, "label"], "left").select(*keys, "node", "old", F.least("label", "further").alias("label")).checkpoint()
+        new = stored(new.join(hop, [*keys, "label"], "left").select(*keys, "node", "old", F.least("label", "further").alias("label")))
         labels = new.select(*keys, "node", "label")
         if new.where("label <> old").isEmpty():
             return labels.withColumnRenamed("label", "component")
@@ -214,7 +226,6 @@ def contract_chains(edges: DataFrame, keys: list[str], retained: DataFrame) -> D
     Half-edges are linked through the nodes that go; pointer doubling finds the end of each in
     a logarithm of rounds. A chain is walked from its smaller end (by node, then by its first edge).
     """
-    ensure_checkpoints(edges)
     pair = F.array(
         F.struct(F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(0).alias("dir")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst"), F.lit(1).alias("dir"))
     )
@@ -222,18 +233,18 @@ def contract_chains(edges: DataFrame, keys: list[str], retained: DataFrame) -> D
     kept = retained.select(*keys, F.col("node").alias("_node")).withColumn("_kept", F.lit(True))
     on = lambda c: [half[k] == kept[k] for k in keys] + [half[c] == kept["_node"]]
     half = half.join(kept, on("dst"), "left").select(*[half[c] for c in half.columns], F.coalesce("_kept", F.lit(False)).alias("stop"))
-    half = half.checkpoint()
+    half = stored(half)
     # the next half-edge after one that ends at a node that goes: the other one that leaves it
     leave = half.select(*keys, F.col("src").alias("dst"), F.col("edge_id").alias("next_edge"), F.col("dir").alias("next_dir"))
     step = half.where("NOT stop").join(leave, [*keys, "dst"]).where("next_edge <> edge_id").select(*keys, "edge_id", "dir", "next_edge", "next_dir")
-    at = half.join(step, [*keys, "edge_id", "dir"], "left").select(
+    at = stored(half.join(step, [*keys, "edge_id", "dir"], "left").select(
         *keys, "edge_id", "dir", F.coalesce("next_edge", "edge_id").alias("p_edge"), F.coalesce("next_dir", "dir").alias("p_dir"), F.when(F.col("next_edge").isNull(), 0).otherwise(1).cast("long").alias("hops")
-    ).checkpoint()
+    ))
     while True:
         to = at.select(*keys, F.col("edge_id").alias("p_edge"), F.col("dir").alias("p_dir"), F.col("p_edge").alias("q_edge"), F.col("p_dir").alias("q_dir"), F.col("hops").alias("more"))
-        new = at.join(to, [*keys, "p_edge", "p_dir"]).select(
+        new = stored(at.join(to, [*keys, "p_edge", "p_dir"]).select(
             *keys, "edge_id", "dir", F.col("q_edge").alias("p_edge"), F.col("q_dir").alias("p_dir"), (F.col("hops") + F.col("more")).alias("hops"), "more"
-        ).checkpoint()
+        ))
         at = new.drop("more")
         if new.where("more > 0").isEmpty():
             break

@@ -15,29 +15,28 @@ def network(curves: DataFrame, decisions: DataFrame, tolerance: float, keys: lis
     ``decisions`` are validated events (keys, event_id, a, b, t_a, t_b, x, y); ``register`` is (keys, edge_id). Violations of the
     topology, of the provenance graph or of the register are an error.
     """
-    graph.ensure_checkpoints(curves)
-    splits = topology.split_records(decisions, keys).checkpoint()
+    splits = graph.stored(topology.split_records(decisions, keys))
     loc, frags = topology.topology(curves, splits.select(*keys, "segment_id", "t", "x", "y"), tolerance, keys)
-    frags = frags.checkpoint()
+    frags = graph.stored(frags)
     _require(topology.violations(frags, keys), "topology")
-    loc = topology.described(loc, frags, curves, splits, keys).checkpoint()
+    loc = graph.stored(topology.described(loc, frags, curves, splits, keys))
     nodes, edges, bad = graph.provenance(loc, frags.select(*keys, "fragment_id", "segment_id", "t_start", "t_end", "u", "v", "length", "geometry"), keys)
     _require(bad, "provenance")
-    edges = edges.withColumn("geometry", F.transform("geometry", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))).checkpoint()
+    edges = graph.stored(edges.withColumn("geometry", F.transform("geometry", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))))
     out = {"provenance": (nodes, edges)}
     if register is not None:
         edges, _, bad = graph.exclusions(edges.withColumn("_flag", F.lit(True)), register, keys, "_flag")
         _require(bad.where("reason <> 'flagged but not registered'"), "registered anomalies")
         edges = edges.drop("_flag")
     out["analytical"] = (nodes, edges)
-    kept = graph.retention_nodes(edges, keys, nodes, F.col("source_type") == "validated_interior_crossing").checkpoint()
+    kept = graph.stored(graph.retention_nodes(edges, keys, nodes, F.col("source_type") == "validated_interior_crossing"))
     # chains join at places, not at the pieces' computed ends
     at = nodes.select(*keys, "node_id", F.struct("x", "y").alias("_p"))
     for end in ("u", "v"):
         edges = edges.join(at.select(*keys, F.col("node_id").alias(end), F.col("_p").alias(f"_{end}")), [*keys, end])
     inner = F.slice("geometry", F.lit(2), F.size("geometry") - 2)
-    edges = edges.withColumn("geometry", F.concat(F.array("_u"), inner, F.array("_v"))).drop("_u", "_v").checkpoint()
-    chains = graph.simplified_ids(graph.contract_chains(edges, keys, kept), keys).withColumnRenamed("simplified_id", "edge_id").checkpoint()
+    edges = graph.stored(edges.withColumn("geometry", F.concat(F.array("_u"), inner, F.array("_v"))).drop("_u", "_v"))
+    chains = graph.stored(graph.simplified_ids(graph.contract_chains(edges, keys, kept), keys).withColumnRenamed("simplified_id", "edge_id"))
     simple = nodes.join(kept.withColumnRenamed("node", "node_id"), [*keys, "node_id"], "left_semi")
     out["simplified"] = (simple, chains)
     out["bidirectional"] = (simple, graph.bidirectional(chains))
