@@ -121,3 +121,16 @@ def test_a_polyline_keeps_its_ends(spark):
     s = spark.createDataFrame([(1, "a", 0.0, 0.0, 1.0, 2.0, 2.0, 0.0)], "segment_id int, shape string, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double")
     r = geometry.selected_linework(s, 0.01, ["shape"]).first()
     assert r["n_vertices"] == len(r["geometry"]) > 4 and (r["geometry"][0]["x"], r["geometry"][-1]["x"]) == (0.0, 2.0)
+
+
+def test_values_of_zero_and_null_disagree_too(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(i, None if i == 26 else i % 4) for i in range(60)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = entry.queries()["id_reconciliation"](spark, str(tmp_path)).collect()
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(c.sql(entry.oracle_sql()["id_reconciliation"]).fetchall())
