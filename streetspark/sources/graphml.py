@@ -15,7 +15,11 @@ DATA = "array<struct<_VALUE:string,_key:string>>"
 
 
 def _read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).schema(schema).load(path)
+    """Elements with that tag. A file may be a piece of the document without a root of its own, which only the older tokenizer reads past
+    its first element; an element that is not well-formed is an error.
+    """
+    reader = spark.read.format("xml").option("useLegacyXMLParser", True).option("mode", "FAILFAST")
+    return reader.option("rowTag", tag).option("ignoreNamespace", True).schema(schema).load(path)
 
 
 def read_keys(spark: SparkSession, path: str) -> dict[str, tuple[str, str, str]]:

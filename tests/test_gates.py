@@ -134,3 +134,22 @@ def test_values_of_zero_and_null_disagree_too(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert sorted(map(tuple, got)) == sorted(c.sql(entry.oracle_sql()["id_reconciliation"]).fetchall())
+
+
+def test_a_graph_in_several_files_is_read_whole(spark, tmp_path):
+    nodes = spark.range(400).select(F.col("id").alias("node_id"), (F.col("id") / 2).alias("v"))
+    edges = spark.range(399).select(F.col("id").alias("edge_id"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    at = str(tmp_path / "g")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        graphml.write_graphml(nodes, edges, at)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([f for f in (tmp_path / "g").iterdir() if f.name.startswith("part-")]) > 2
+    assert set(graphml.read_keys(spark, at)) == {"n0"}
+    n, e = graphml.read_graphml(spark, at)
+    n, e = n.select(F.col("node_id").cast("long").alias("node_id"), "v"), e.select(*[F.col(c).cast("long").alias(c) for c in ("edge_id", "u", "v")])
+    assert graphml.roundtrip_mismatches((nodes, edges), (n, e)).isEmpty() and n.count() == 400 and e.count() == 399
+    (tmp_path / "bad.graphml").write_text('<graphml>\n<node id="a"/>\n<node id="b"><data key="n0">1</dat></node>\n</graphml>')
+    with pytest.raises(Exception, match="MALFORMED|error while reading"):
+        graphml._read(spark, str(tmp_path / "bad.graphml"), "node", "_id string").collect()
