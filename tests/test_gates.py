@@ -153,3 +153,32 @@ def test_a_graph_in_several_files_is_read_whole(spark, tmp_path):
     (tmp_path / "bad.graphml").write_text('<graphml>\n<node id="a"/>\n<node id="b"><data key="n0">1</dat></node>\n</graphml>')
     with pytest.raises(Exception, match="MALFORMED|error while reading"):
         graphml._read(spark, str(tmp_path / "bad.graphml"), "node", "_id string").collect()
+
+
+def test_batches_of_pairs_have_the_roots_of_single_pairs(spark):
+    rng = np.random.default_rng(3)
+    pa, pb, kind = rng.normal(size=(240, 3, 2)), rng.normal(size=(240, 3, 2)), np.arange(240) % 6
+    pa[kind == 1, 1] = (pa[kind == 1, 0] + pa[kind == 1, 2]) / 2
+    pb[kind == 2, 1] = (pb[kind == 2, 0] + pb[kind == 2, 2]) / 2
+    pb[kind == 3, 0] = pa[kind == 3, 2]
+    pa[kind == 4, 2] = pa[kind == 4, 0]
+    pa[kind == 5], pb[kind == 5] = np.round(pa[kind == 5]), np.round(pb[kind == 5])
+    kinds = intersect.overlap_kinds(pa, pb)
+    assert kinds.tolist() == [intersect.overlap_kind(a, b) for a, b in zip(pa, pb, strict=True)]
+    pa, pb = pa[kinds == None], pb[kinds == None]  # noqa: E711
+    for many, one in ((intersect.roots_many, intersect.roots), (intersect.roots_by_subdivision_many, lambda a, b, r: intersect.roots_by_subdivision(a, b, r)[0])):
+        got, want = many(pa, pb, 1e-9), [(i, r) for i, (a, b) in enumerate(zip(pa, pb, strict=True)) for r in one(a, b, 1e-9)]
+        assert got["row"].tolist() == [i for i, _ in want] and len(want) > 100
+        for c in ("t_a", "t_b", "x", "y"):
+            assert got[c] == pytest.approx([r[c] for _, r in want], abs=1e-6)
+    with pytest.raises(ValueError, match="too many states"):
+        intersect.subdivision_seeds_many(PARABOLA[None], PARABOLA[None], most_states=50)
+    halved, whole = (intersect.subdivision_seeds_many(pa, pb, at_once=n) for n in (100, 10**9))
+    assert all(np.array_equal(h[:, : w.shape[1]], w, equal_nan=True) for h, w in zip(halved, whole, strict=True))
+
+
+def test_pairs_of_curves_are_dealt_to_all_tasks(spark):
+    rows = [(0, i, *((0.0, i, 50.0, i, 99.0, i) if i % 2 else (i, 0.0, i, 50.0, i, 99.0))) for i in map(float, range(30))]
+    curves = spark.createDataFrame(rows, ["env", "segment_id", *geometry.CONTROL]).withColumn("segment_id", F.col("segment_id").cast("long"))
+    found = intersect.curve_intersections(curves, ["env"], 1e-9)
+    assert found.count() == 15 * 15 and found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
