@@ -105,6 +105,23 @@ def adaptive_samples(curves: DataFrame, tolerance: Column | float, max_depth: in
     three points are equal. The levels are one row's frontier, expanded by an array fold, so a curve
     never leaves its row and nothing is shuffled. Intervals that are no leaves at max_depth are an error.
     """
+    x = _adaptive_parameters(curves, tolerance, max_depth).select(*curves.columns, F.posexplode("_t").alias("pos", "t"))
+    px, py = _place(F.col("t"))
+    return x.withColumn("x", px).withColumn("y", py)
+
+
+def adaptive_polylines(curves: DataFrame, tolerance: Column | float, max_depth: int = 60) -> DataFrame:
+    """The curves with ``geometry``, the vertices of ``adaptive_samples`` as one array of pos, x and y; no row is dealt anew."""
+    point = lambda t, i: F.struct(i.alias("pos"), *[c.alias(n) for c, n in zip(_place(t), E.AXES, strict=True)])
+    return _adaptive_parameters(curves, tolerance, max_depth).select(*curves.columns, F.transform("_t", point).alias("geometry"))
+
+
+def _place(t: Column) -> tuple[Column, ...]:
+    return tuple(F.when(t == 0, F.col(f"{c}0")).when(t == 1, F.col(f"{c}2")).otherwise(E.point(f"{c}0", f"{c}1", f"{c}2", t)) for c in E.AXES)
+
+
+def _adaptive_parameters(curves: DataFrame, tolerance: Column | float, max_depth: int) -> DataFrame:
+    """The curves with ``_t``, the sorted parameters of their vertices."""
     tol = F.lit(float(tolerance)) if isinstance(tolerance, (int, float)) else tolerance
     x = curves.withColumn("_tol", F.when(tol > 0, tol).otherwise(F.raise_error(F.lit("the tolerance must be positive")).cast("double")))
     iv = "array<struct<a:double,b:double>>"
@@ -140,14 +157,12 @@ def adaptive_samples(curves: DataFrame, tolerance: Column | float, max_depth: in
 
     start = F.struct(F.array().cast(iv).alias("done"), F.array(F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))).alias("open"))
     folded = F.aggregate(F.sequence(F.lit(0), F.lit(max_depth)), start, level)
-    x = x.withColumn("_s", folded)
+    # most pieces are flat as they are: no level is looked at for them
+    whole = F.struct(F.array(F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))).alias("done"), F.array().cast(iv).alias("open"))
+    x = x.withColumn("_s", F.when(accepted(F.lit(0.0), F.lit(1.0)), whole).otherwise(folded))
     deep = F.raise_error(F.lit("the curve is not flat at the largest depth")).cast("array<double>")
     ends = F.array_sort(F.transform(F.col("_s.done"), lambda i: i["b"]))
-    x = x.withColumn("_t", F.when(F.size("_s.open") == 0, F.concat(F.array(F.lit(0.0)), ends)).otherwise(deep))
-    x = x.select(*curves.columns, F.posexplode("_t").alias("pos", "t"))
-    px = F.when(F.col("t") == 0, F.col("x0")).when(F.col("t") == 1, F.col("x2")).otherwise(E.point("x0", "x1", "x2", "t"))
-    py = F.when(F.col("t") == 0, F.col("y0")).when(F.col("t") == 1, F.col("y2")).otherwise(E.point("y0", "y1", "y2", "t"))
-    return x.withColumn("x", px).withColumn("y", py)
+    return x.withColumn("_t", F.when(F.size("_s.open") == 0, F.concat(F.array(F.lit(0.0)), ends)).otherwise(deep))
 
 
 def array_length(points: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import geometry, intersect, morphology, topology
+from ..operators import geometry, graph, intersect, morphology, topology
 from . import adapters as A
 from . import jobs
 from .queries import DECOMP, _avg_rank, query, r9, s9
@@ -119,7 +119,7 @@ def split_records(spark, d):
 def _topology(spark, d):
     c = lattice(spark, d, 0.0)
     splits = topology.split_records(_decisions(spark, d), ["env"]).select("env", "segment_id", "t", "x", "y")
-    splits = splits.withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
+    splits = graph.stored(splits.withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6)))
     return c, splits, *topology.topology(c, splits, 0.01, ["env"])
 
 

@@ -154,3 +154,23 @@ def test_nearest(spark):
     rows = [(1, -1.0, 0.0, 0.0, 2.0, 1.0, 0.0, 0.0, 3.0)]
     got = intersect.nearest(spark.createDataFrame(rows, ["segment_id", *geometry.CONTROL, "px", "py"]), ["segment_id"]).collect()[0]
     assert math.isclose(got["t"], 0.5, abs_tol=1e-9) and math.isclose(got["distance"], 2.0, rel_tol=1e-12)
+
+
+def test_polylines_are_the_samples_in_one_row(curves):
+    got = {r["segment_id"]: [(p["pos"], p["x"], p["y"]) for p in r["geometry"]] for r in geometry.adaptive_polylines(curves, 0.01).collect()}
+    for k in CURVES:
+        rows = geometry.adaptive_samples(curves.where(F.col("segment_id") == k), 0.01).orderBy("pos").collect()
+        assert got[k] == [(r["pos"], r["x"], r["y"]) for r in rows]
+
+
+def test_pieces_of_few_curves_are_dealt_to_all_tasks(spark, monkeypatch):
+    from streetspark.operators import graph, topology
+
+    parts = []
+    stored = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: (parts.append(df.rdd.getNumPartitions()), stored(df))[1])
+    rows = [(0, i, 0.0, float(i), 50.0, float(i), 99.0, float(i)) for i in range(20)]
+    lines = spark.createDataFrame(rows, ["env", *NAMES])
+    cuts = lines.select("env", "segment_id", F.explode(F.array(F.lit(0.25), F.lit(0.5))).alias("t"))
+    assert topology.fragments(lines, cuts, 0.01, ["env"]).count() == 60
+    assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
