@@ -15,7 +15,7 @@ features of a smaller domain, so frequent features, those of passages that many
 left out of the first scheme's domain.
 
 ``SCHEMES`` lists (k2, n2), each more selective than the last. All sets sign by the first. In a
-bucket all sets are first compared with its least one, so a large group of near copies costs a link each; then,
+bucket all sets are first compared with the least one of those buckets that they share most, so a large group of near copies costs a link each; then,
 as long as that helps, with one of those outside the bucket's largest component. What is still apart is compared one by
 one in buckets with at most ``APART`` sets outside the largest component (``links.linked_classes``). The sets of other buckets
 sign by the next scheme, which is complete for them by itself; after the last scheme all are
@@ -63,6 +63,8 @@ SAMPLE = 8
 HOT_TIMES = 2
 HOT_BITS = 1 << 26
 LEAST = 4
+#: Bits of the parities that are compared first.
+BRIEF = 512
 #: Any two sets of a bucket may be compared.
 SIDE = 2
 U = np.uint64
@@ -101,6 +103,12 @@ def parities(f: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def brief_parities(f: np.ndarray) -> list[int]:
+    """Parities in BRIEF bits, whatever the size."""
+    odd = np.bincount((mixed(f, 103) & U(BRIEF - 1)).astype(np.int64), minlength=BRIEF) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def fewest_differences(x: Column, y: Column) -> Column:
     """A lower bound of the difference of two sets from their parities; the longer ones, of twice the length, are folded."""
 
@@ -119,6 +127,12 @@ def may_link(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
     return F.when(size, 7 * fewest_differences(pa_, pb) <= na + nb).otherwise(F.lit(False))
 
 
+def may_link_briefly(na: Column, qa: Column, nb: Column, qb: Column) -> Column:
+    """The same by ``brief_parities``, without lambdas."""
+    differ = sum((F.bit_count(F.get(qa, F.lit(i)).bitwiseXOR(F.get(qb, F.lit(i)))) for i in range(1, BRIEF // 64)), F.bit_count(F.get(qa, F.lit(0)).bitwiseXOR(F.get(qb, F.lit(0)))))
+    return (4 * na >= 3 * nb) & (4 * nb >= 3 * na) & (7 * differ <= na + nb)
+
+
 def bands(most: int) -> list[int]:
     """Largest sizes of the bands."""
     out = [4]
@@ -208,7 +222,7 @@ def _list_column(rows: list[list[int]]) -> pa.Array:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, n, node, odd, sample) per row, stored: a hash of its text, the size of its set, its class, parities, and the features of a SAMPLE-th of the sets."""
+    """(doc_id, copy, n, node, odd, brief, sample) per row, stored: a hash of its text, the size of its set, its class, parities, and the features of a SAMPLE-th of the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,13 +234,14 @@ def classes(docs: DataFrame) -> DataFrame:
                 pa.array([len(f) for f in sets], pa.int64()),
                 pa.array(nodes, pa.binary()),
                 _list_column([parities(f) for f in sets]),
+                _list_column([brief_parities(f) for f in sets]),
                 _list_column([f.view(np.int64).tolist() if node[0] % SAMPLE == 0 else [] for f, node in zip(sets, nodes, strict=True)]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "n", "node", "odd", "sample"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "n", "node", "odd", "brief", "sample"])
 
     text = text_of(docs["text"])
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("copy"), text.alias("text"))
-    return stored(d.mapInArrow(run, "doc_id long, copy binary, n long, node binary, odd array<long>, sample array<long>"), "jaccard-classes")
+    return stored(d.mapInArrow(run, "doc_id long, copy binary, n long, node binary, odd array<long>, brief array<long>, sample array<long>"), "jaccard-classes")
 
 
 def hot_places(f: np.ndarray) -> np.ndarray:
@@ -411,7 +426,7 @@ def linked(pairs: DataFrame, docs: DataFrame, cls: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, (id, component) of the classes that link with another one)."""
     cls = classes(docs)
-    sketch = stored(cls.where("n >= 3").groupBy("node").agg(F.first("n").alias("n"), F.first("odd").alias("odd")), "jaccard-sketches")
+    sketch = stored(cls.where("n >= 3").groupBy("node").agg(F.first("n").alias("n"), F.first("brief").alias("brief"), F.first("odd").alias("odd")), "jaccard-sketches")
 
     def signed(scheme: int, crowded: DataFrame | None) -> DataFrame:
         texts, sizes = docs.select(text_of(docs["text"]).alias("text")), cls
@@ -421,8 +436,9 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return buckets(texts.select("text"), scheme, features, None if scheme else hot_features(cls))
 
     may = lambda i, j: may_link(F.col(f"{i}.n"), F.col(f"{i}.odd"), F.col(f"{j}.n"), F.col(f"{j}.odd"))
+    briefly = lambda i, j: may_link_briefly(F.col(f"{i}.n"), F.col(f"{i}.brief"), F.col(f"{j}.n"), F.col(f"{j}.brief"))
     schemes = [partial(signed, i) for i in range(len(SCHEMES))]
-    return cls, linked_classes(schemes, sketch, may, lambda pairs: linked(pairs, docs, cls), APART)
+    return cls, linked_classes(schemes, sketch, may, lambda pairs: linked(pairs, docs, cls), APART, thin=True, brief=(["n", "brief"], briefly))
 
 
 def components_of(docs: DataFrame) -> DataFrame:

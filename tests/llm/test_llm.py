@@ -513,3 +513,20 @@ def test_pipeline_run_against_brute_force(spark, tmp_path):
     assert {i: r["text"] for i, r in out.items()} == mixed and 0 < len(mixed) <= len(left)
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
     assert all(r["token_ids"] == sp.encode(r["text"]) and r["n_tokens"] == len(r["token_ids"]) for r in out.values())
+
+
+def test_a_group_of_near_copies_costs_few_comparisons(spark):
+    n = 60
+    pairs = [(1000 * a + b, a, b) for a in range(n) for b in range(a)]  # each pair has a bucket of its own
+    rows = [(k, x, b, 2) for k, a, b in pairs for x in (a, b)]
+    sketch = spark.range(n).select(F.col("id").alias("node"), F.lit(1).alias("one"))
+    seen = []
+
+    def verify(p):
+        seen.append(p.count())
+        return p
+
+    scheme = lambda crowded: spark.createDataFrame(rows, "key long, node long, center long, side int")
+    got = links.linked_classes([scheme], sketch, lambda i, j: F.lit(True), verify, 64, thin=True).collect()
+    assert {r["id"]: r["component"] for r in got} == dict.fromkeys(range(n), 0)
+    assert sum(seen) <= 2 * n
