@@ -530,3 +530,38 @@ def test_a_group_of_near_copies_costs_few_comparisons(spark):
     got = links.linked_classes([scheme], sketch, lambda i, j: F.lit(True), verify, 64, thin=True).collect()
     assert {r["id"]: r["component"] for r in got} == dict.fromkeys(range(n), 0)
     assert sum(seen) <= 2 * n
+
+
+def test_keys_of_words_meet_within_edits_of_characters(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(400):
+        a = " ".join(rnd.choice(["a", "bc", "def", "ghij", "kl mn"]) for _ in range(rnd.randint(6, 24)))
+        b = a
+        for _ in range(2):
+            i = rnd.randrange(len(b))
+            b = rnd.choice([b[:i] + b[i + 1 :], b[:i] + rnd.choice(" xa") + b[i:], b[:i] + rnd.choice(" xa") + b[i + 1 :]])
+        rows.append((a, b))
+    lines = [(i, j, s, len(s)) for i, r in enumerate(rows) for j, s in enumerate(r) if s.strip()]
+    x = spark.createDataFrame(lines, "doc_id long, pos int, line string, n int")
+    for gram in line_dedup.GRAMS:
+        keys = line_dedup.keyed_lines(x, gram).collect()
+        most = [len([k for k in keys if k["doc_id"] == i and k["side"] != line_dedup.WORDS]) for i, r in enumerate(rows) if min(len(s.split()) for s in r) >= 17]
+        assert most and max(most) == 0  # no segments of lines with many words
+        by = {}
+        for k in keys:
+            by.setdefault(k["doc_id"], {}).setdefault(k["node"], set()).add((k["side"], k["key"]))
+        for sides in by.values():
+            if len(sides) == 2:
+                p, q = sides.values()
+                assert any((s, k) in q if s == 2 else (1 - s, k) in q for s, k in p)
+
+
+def test_words_that_share_a_code_stay_apart(spark, monkeypatch):
+    rows = [("a b c d e f g h i j k l", "a b c d e f g h i j k x"), ("a b c d e f g h i j k l", "a b c d e f g h i j y x"), ("a b c d e f g h i j", "j i h g f e d c b a")]
+    for bits in (1, 19):
+        monkeypatch.setattr(line_dedup, "CODE_BITS", bits, raising=False)
+        got = spark.createDataFrame(rows, "a string, b string").select(line_dedup.words_within(F.col("a"), F.col("b")).alias("w")).collect()
+        assert [r["w"] for r in got] == [True, False, False]
