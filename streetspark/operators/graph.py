@@ -47,20 +47,39 @@ def degrees(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) -
 
 
 def components(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) -> DataFrame:
-    """(keys, node, component): the least node that is connected; labels spread and are shortened by pointer jumping."""
-    both = stored(ends(edges, keys).select(*keys, "node", "other").distinct())
-    labels = both.select(*keys, "node").distinct()
+    """(keys, node, component): the least node that is connected.
+
+    Every node hangs on its least smaller neighbour, pointer jumping finds the roots of these trees, and edges go on between roots
+    only. So a round halves the nodes that still have edges at least, whatever the length of paths, and later rounds are small.
+    """
+    every = edges.select(*keys, F.explode(F.array("u", "v")).alias("node"))
     if nodes is not None:
-        labels = labels.union(nodes.select(*keys, F.col("node_id").alias("node"))).distinct()
-    labels = stored(labels.withColumn("label", F.col("node")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), [*keys, "other"]).groupBy(*keys, "node").agg(F.min("label").alias("m"))
-        new = labels.join(near, [*keys, "node"], "left").select(*keys, "node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        hop = labels.select(*keys, F.col("node").alias("label"), F.col("label").alias("further"))
-        new = stored(new.join(hop, [*keys, "label"], "left").select(*keys, "node", "old", F.least("label", "further").alias("label")))
-        labels = new.select(*keys, "node", "label")
-        if new.where("label <> old").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        every = every.union(nodes.select(*keys, F.col("node_id").alias("node")))
+    names = [f"_{k}" for k in keys]  # rows with a null key are not joined with others
+    own = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+    known = [F.col(n).isNotNull() for n in names]
+    left = edges.select(*own, F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("u <> v")
+    for test in known:
+        left = left.where(test)
+    left = stored(left.distinct())
+    maps: list[DataFrame] = []
+    while not left.isEmpty():
+        up = stored(left.groupBy(*names, "hi").agg(F.min("lo").alias("root")))
+        while True:
+            to = up.select(*names, F.col("hi").alias("root"), F.col("root").alias("further"))
+            new = stored(up.join(to, [*names, "root"], "left").select(*names, "hi", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("_moved")))
+            up = new.drop("_moved")
+            if new.where("_moved").isEmpty():
+                break
+        maps.append(up)
+        for end in ("hi", "lo"):
+            left = left.join(up.select(*names, F.col("hi").alias(end), F.col("root").alias(f"_{end}")), [*names, end], "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+        left = stored(left.where("hi <> lo").select(*names, F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct())
+    labels = every.distinct().withColumn("component", F.col("node"))
+    for up in maps:
+        on = [F.col(k) == F.col(n) for k, n in zip(keys, names, strict=True)] + [F.col("component") == F.col("hi")]
+        labels = labels.join(up, on, "left").select(*keys, "node", F.coalesce("root", "component").alias("component"))
+    return stored(labels)
 
 
 def degree_distribution(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) -> DataFrame:
@@ -126,13 +145,17 @@ def topology_summary(edges: DataFrame, keys: list[str], nodes: DataFrame | None
     return d.groupBy(*keys).agg(*aggs)
 
 
-def graph_summary(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None, flagged: str | None = None) -> DataFrame:
-    """Nodes, edges, loops, parallel pairs, components; with ``flagged``, a boolean column, also how many nodes and edges have it."""
+def graph_summary(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None, flagged: str | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """Nodes, edges, loops, parallel pairs, components; with ``flagged``, a boolean column, also how many nodes and edges have it.
+
+    ``labels``: ``components`` of this graph, where they are known.
+    """
     if flagged:
         marks = [x.groupBy(*keys).agg(F.count_if(F.col(flagged)).alias(n)) for x, n in ((nodes, "n_flagged_nodes"), (edges, "n_flagged_edges"))]
-        plain = graph_summary(edges, keys, nodes)
+        plain = graph_summary(edges, keys, nodes, labels=labels)
         return plain.join(marks[0], keys, "left").join(marks[1], keys, "left").fillna(0, ["n_flagged_nodes", "n_flagged_edges"])
-    c = components(edges, keys, nodes).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_nodes"), F.countDistinct("component").alias("n_components"))
+    labels = components(edges, keys, nodes) if labels is None else labels
+    c = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_nodes"), F.countDistinct("component").alias("n_components"))
     e = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("u") == F.col("v")).alias("n_loops"))
     p = parallel_edges(edges, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_parallel"))
     return c.join(e, keys, "left").join(p, keys, "left").fillna(0, ["n_edges", "n_loops", "n_parallel"])
@@ -212,8 +235,15 @@ def retention_nodes(edges: DataFrame, keys: list[str], nodes: DataFrame, marked:
     n = nodes.select(*keys, F.col("node_id").alias("node"), (marked if marked is not None else F.lit(False)).alias("_marked"))
     x = n.join(s, [*keys, "node"], "left").fillna(0, ["degree", "neighbours", "loop"])
     x = x.withColumn("_keep", (F.col("degree") != 2) | (F.col("neighbours") != 2) | (F.col("loop") == 1) | F.col("_marked"))
-    c = components(edges, keys, nodes).join(x.select(*keys, "node", "_keep"), [*keys, "node"])
-    alone = c.groupBy(*keys, "component").agg(F.max(F.col("_keep").cast("int")).alias("any")).where("any = 0").select(*keys, F.col("component").alias("node"))
+    # a component without any has none of the edges that end at a kept node
+    x = stored(x.select(*keys, "node", "_keep"))
+    inner, kept = edges.select(*keys, "u", "v"), x.where("_keep").select(*keys, "node")
+    for end in ("u", "v"):
+        inner = inner.join(kept.withColumnRenamed("node", end), [*keys, end], "left_anti")
+    c = components(inner, keys, x.where("NOT _keep").select(*keys, F.col("node").alias("node_id")))
+    held = e.join(kept.withColumnRenamed("node", "other"), [*keys, "other"], "left_semi").select(*keys, "node").distinct().withColumn("_held", F.lit(True))
+    c = c.join(held, [*keys, "node"], "left").join(x, [*keys, "node"], "left")
+    alone = c.groupBy(*keys, "component").agg(F.count("_held").alias("held"), F.count("_keep").alias("known")).where("held = 0 AND known > 0").select(*keys, F.col("component").alias("node"))
     return x.where("_keep").select(*keys, "node").union(alone)
 
 

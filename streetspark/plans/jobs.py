@@ -44,11 +44,22 @@ def network(curves: DataFrame, decisions: DataFrame, tolerance: float, keys: lis
 
 
 def network_summary(variants: dict[str, tuple[DataFrame, DataFrame]], keys: list[str]) -> DataFrame:
-    """(variant, keys, n_nodes, n_edges, n_components, length) of each variant."""
+    """(variant, keys, n_nodes, n_edges, n_components, length) of each variant.
+
+    Without registered anomalies the analytical graph is that of provenance. Contracting chains and adding reversed edges connects and
+    separates nothing, so nodes of the simplified and bidirectional graphs have the components of the analytical one.
+    """
     out: DataFrame | None = None
+    labels: dict[str, DataFrame] = {}
     for name, (nodes, edges) in variants.items():
+        if name == "analytical" and edges is variants["provenance"][1]:
+            labels[name] = labels["provenance"]
+        elif name in ("simplified", "bidirectional"):
+            labels[name] = labels["analytical"].join(nodes.select(*keys, F.col("node_id").alias("node")), [*keys, "node"], "left_semi")
+        else:
+            labels[name] = graph.components(edges, keys, nodes)
         length = edges.groupBy(*keys).agg(F.sum("length").alias("length"))
-        row = graph.graph_summary(edges, keys, nodes).join(length, keys, "left").select(F.lit(name).alias("variant"), *keys, "n_nodes", "n_edges", "n_components", "length")
+        row = graph.graph_summary(edges, keys, nodes, labels=labels[name]).join(length, keys, "left").select(F.lit(name).alias("variant"), *keys, "n_nodes", "n_edges", "n_components", "length")
         out = row if out is None else out.union(row)
     return out
 

@@ -162,3 +162,36 @@ def test_export_and_graphml(spark, tmp_path):
     n2, e2 = graphml.read_graphml(spark, str(tmp_path / "g"))
     back = e2.withColumn("geometry", graphml.decoded("geometry", "array<array<double>>"))
     assert graphml.roundtrip_mismatches((n, e), (n2, back)).count() == 0
+
+
+def test_components_and_lone_cycles_like_brute_force(spark):
+    import random
+
+    random.seed(5)
+    edges = [(random.randrange(3), i, random.randrange(60), random.randrange(60)) for i in range(90)]
+    edges += [(3, 100 + i, i, (i + 1) % 40) for i in range(40)] + [(4, 200 + i, i, i + 1) for i in range(70)] + [(None, 300, 1, 2)]
+    nodes = sorted({(e, n) for e, _, u, v in edges for n in (u, v) if e is not None} | {(0, 99)})
+    least = {x: x[1] for x in nodes}
+    for _ in nodes:
+        for e, _, u, v in edges:
+            if e is not None:
+                least[e, u] = least[e, v] = min(least[e, u], least[e, v])
+    t = spark.createDataFrame(edges, "env int, edge_id long, u long, v long")
+    n = spark.createDataFrame(nodes, "env int, node_id long")
+    got = {(r["env"], r["node"]): r["component"] for r in graph.components(t, ["env"], n).collect()}
+    assert {k: c for k, c in got.items() if k[0] is not None} == least and got[None, 1] == 1 and got[None, 2] == 2
+    kept = {tuple(r) for r in graph.retention_nodes(t.where("env >= 3"), ["env"], n.where("env >= 3")).collect()}
+    assert kept == {(3, 0), (4, 0), (4, 70)}
+
+
+def test_a_network_is_connected_once(spark, monkeypatch, tmp_path):
+    """The variants of a network share the components; they were computed for each."""
+    import __spark_entry__ as entry
+
+    calls = []
+    found = graph.components
+    monkeypatch.setattr(graph, "components", lambda *a, **b: (calls.append(1), found(*a, **b))[1])
+    spark.createDataFrame([(i, 0) for i in range(6)], "s_suppkey long, s_nationkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    rows = {r["variant"]: r for r in entry.queries()["network_job"](spark, str(tmp_path)).collect()}
+    assert {r["n_components"] for r in rows.values()} == {1} and rows["simplified"]["n_edges"] * 2 == rows["bidirectional"]["n_edges"]
+    assert len(calls) == 2
