@@ -565,3 +565,23 @@ def test_words_that_share_a_code_stay_apart(spark, monkeypatch):
         monkeypatch.setattr(line_dedup, "CODE_BITS", bits, raising=False)
         got = spark.createDataFrame(rows, "a string, b string").select(line_dedup.words_within(F.col("a"), F.col("b")).alias("w")).collect()
         assert [r["w"] for r in got] == [True, False, False]
+
+
+def test_a_stage_deletes_what_earlier_ones_stored(spark, tmp_path):
+    """Stages that are run one by one, each written, left all their tables behind; what a stage still reads stays."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import os
+
+    from streetspark.llm.common import WRITTEN
+
+    of = lambda p: p.removeprefix("file://").removeprefix("file:")
+    before = set(WRITTEN)
+    docs = spark.createDataFrame([(i, f"some {i} words that are here for number {i} and not more than that again", "en", "s", 9) for i in range(12)], SCHEMA)
+    lazy = corpus_pipeline.quality(spark, docs, "")
+    mine = set(WRITTEN) - before
+    assert mine and all(os.path.isdir(of(p)) for p in mine)
+    corpus_pipeline.mixture(spark, lazy, "")  # reads what quality stored
+    assert any(os.path.isdir(of(p)) for p in mine) and lazy.count() == 12
+    lazy.write.parquet(str(tmp_path / "0"))
+    corpus_pipeline.mixture(spark, spark.read.parquet(str(tmp_path / "0")), "")
+    assert not any(os.path.exists(of(p)) for p in mine)
