@@ -54,7 +54,7 @@ SHINGLE = 5
 SCHEMES = [(1, 3), (2, 5), (3, 7)]
 #: Sets outside a bucket's largest component that are compared with all of the bucket at once.
 APART = 64
-#: Signed sets are gathered until they have so many features.
+#: Signed sets are gathered until they have so many features; of schemes with more subsets, so many fewer. Verified sets are kept up to so many.
 CHUNK = 1_000_000
 #: Features of all sets for one packed bucket of signatures.
 BUCKET = 2_000_000
@@ -200,6 +200,12 @@ def signatures(sets: list[np.ndarray], scheme: int = 0, hot: np.ndarray | None =
     return np.concatenate(sigs), np.concatenate(of)
 
 
+def chunk(scheme: int) -> int:
+    """Features of sets that are signed at once: memory goes with the signatures, a set of which each subset of a group's parts makes."""
+    subsets = [math.comb(n2, k2) for k2, n2 in SCHEMES]
+    return CHUNK * subsets[0] // subsets[scheme]
+
+
 def _planes(a: np.ndarray) -> bytes:
     """Bytes by their place in the numbers, which compresses well."""
     return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
@@ -317,7 +323,7 @@ def packed(texts: DataFrame, scheme: int, n_buckets: int, hot: np.ndarray | None
         sets: list[np.ndarray] = []
         nodes: list[bytes] = []
         seen: set[bytes] = set()
-        held = 0
+        held, most = 0, chunk(scheme)
         for batch in batches:
             for t in batch.column("text"):
                 f = shingles(t.as_py())
@@ -330,7 +336,7 @@ def packed(texts: DataFrame, scheme: int, n_buckets: int, hot: np.ndarray | None
                 sets.append(f)
                 nodes.append(node)
                 held += len(f)
-                if held >= CHUNK:
+                if held >= most:
                     yield rows(sets, nodes)
                     sets, nodes, held = [], [], 0
             if len(seen) > CHUNK:
@@ -402,14 +408,17 @@ def linked(pairs: DataFrame, docs: DataFrame, cls: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[bytes, np.ndarray] = {}
+        held = 0
         for batch in batches:
             keep = []
             for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-                if sum(map(len, sets.values())) > CHUNK:
+                if held > CHUNK:
                     sets.clear()
+                    held = 0
                 for node, column in ((a, "ta"), (b, "tb")):
                     if node not in sets:
                         sets[node] = shingles(batch.column(column)[i].as_py())
+                        held += len(sets[node])
                 f, g = sets[a], sets[b]
                 both = len(np.intersect1d(f, g, assume_unique=True))
                 keep.append(100 * both >= 75 * (len(f) + len(g) - both))

@@ -585,3 +585,11 @@ def test_a_stage_deletes_what_earlier_ones_stored(spark, tmp_path):
     lazy.write.parquet(str(tmp_path / "0"))
     corpus_pipeline.mixture(spark, spark.read.parquet(str(tmp_path / "0")), "")
     assert not any(os.path.exists(of(p)) for p in mine)
+
+
+def test_signing_memory_goes_with_signatures():
+    import math
+
+    subsets = [math.comb(n2, k2) for k2, n2 in ngram_jaccard.SCHEMES]
+    made = [ngram_jaccard.chunk(i) * s for i, s in enumerate(subsets)]
+    assert max(made) <= ngram_jaccard.CHUNK * subsets[0]
