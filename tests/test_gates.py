@@ -182,3 +182,24 @@ def test_pairs_of_curves_are_dealt_to_all_tasks(spark):
     curves = spark.createDataFrame(rows, ["env", "segment_id", *geometry.CONTROL]).withColumn("segment_id", F.col("segment_id").cast("long"))
     found = intersect.curve_intersections(curves, ["env"], 1e-9)
     assert found.count() == 15 * 15 and found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_position_with_many_segments_is_dealt_out(spark):
+    """All pairs of one position were made by one task."""
+    from pyspark.sql import functions as F
+
+    from streetspark.operators import topology
+
+    n = 200
+    p = spark.createDataFrame([(i, 1.0, 2.0) for i in range(n)] + [(1000, 5.0, 5.0), (7, 5.0, 5.0)], "segment_id long, x double, y double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = topology.endpoint_pairs(p, []).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    want = sorted([(i, j) for i in range(n) for j in range(i + 1, n)] + [(7, 1000)])
+    assert sorted((r["a"], r["b"]) for r in rows) == want
+    assert len({r["task"] for r in rows if r["x"] == 1.0}) > 1
