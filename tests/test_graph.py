@@ -195,3 +195,14 @@ def test_a_network_is_connected_once(spark, monkeypatch, tmp_path):
     rows = {r["variant"]: r for r in entry.queries()["network_job"](spark, str(tmp_path)).collect()}
     assert {r["n_components"] for r in rows.values()} == {1} and rows["simplified"]["n_edges"] * 2 == rows["bidirectional"]["n_edges"]
     assert len(calls) == 2
+
+
+def test_retention_connects_only_what_may_go(spark, monkeypatch):
+    """Components of the whole graph were found to see which of them keep no node."""
+    asked = []
+    found = graph.components
+    monkeypatch.setattr(graph, "components", lambda e, *a: (asked.append(e.count()), found(e, *a))[1])
+    e = edges_of(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "z"), ("z", "x")])
+    kept = graph.retention_nodes(e, ["env"], nodes_of(spark, "abcdxyz"), F.col("node_id").isin(["b", "c"]))
+    assert {r["node"] for r in kept.collect()} == {"a", "b", "c", "d", "x"}
+    assert asked == [3]
