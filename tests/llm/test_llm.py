@@ -532,6 +532,24 @@ def test_a_group_of_near_copies_costs_few_comparisons(spark):
     assert sum(seen) <= 2 * n
 
 
+def test_a_crowded_bucket_that_the_rows_allow_is_compared_at_once(spark):
+    """Stars were drawn in it, and its lines asked for longer runs, each with all joins anew."""
+    crowd, pairs = [(0, n, 0, n > 0) for n in range(100)], [(k, 1000 * k + i, 1000 * k, i > 0) for k in range(1, 61) for i in (0, 1)]
+    b = [(k, n, c, line_dedup.WORDS, True) for k, n, c, _ in crowd + pairs]
+    frame = links.stored(spark.createDataFrame(b, "key long, node long, center long, side int, whole boolean"), "b")
+    sketch = links.stored(frame.select("node").distinct().withColumn("x", F.lit(1)), "s")
+    asked, found = [], []
+
+    def verify(pairs):
+        found.append(pairs.count())
+        return links.stored(pairs.where("a = 50 AND b = 90"), "v")
+
+    later = lambda crowded: (asked.append(crowded.count()), frame)[1]
+    got = links.linked_classes([lambda crowded: frame, later], sketch, lambda i, j: F.lit(True), verify, 64).collect()
+    assert {r["id"]: r["component"] for r in got} == {50: 50, 90: 50}
+    assert asked == [] and found == [99 + 60, 99 * 98 // 2]
+
+
 def test_keys_of_words_meet_within_edits_of_characters(spark):
     import random
 
