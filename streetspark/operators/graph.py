@@ -253,9 +253,28 @@ def contract_chains(edges: DataFrame, keys: list[str], retained: DataFrame) -> D
     If edges have a ``geometry`` (an array of x and y from u to v), so have chains: the edges' in the direction of the walk, a joint once; joints that
     are not exactly equal are an error.
 
-    Half-edges are linked through the nodes that go; pointer doubling finds the end of each in
-    a logarithm of rounds. A chain is walked from its smaller end (by node, then by its first edge).
+    An edge between two retained nodes is a chain by itself. Of the others, half-edges are linked through the nodes that go; pointer doubling
+    finds the end of each in a logarithm of rounds. A chain is walked from its smaller end (by node, then by its first edge).
     """
+    shaped = "geometry" in edges.columns
+    marked = edges.select(*keys, "edge_id", "u", "v", "length", *(["geometry"] if shaped else []))
+    for end in ("u", "v"):
+        stays = retained.select(*keys, F.col("node").alias(end)).distinct().withColumn(f"_{end}", F.lit(True))
+        marked = marked.join(stays, [*keys, end], "left")
+    marked = stored(marked.withColumn("_whole", F.coalesce(F.col("_u") & F.col("_v"), F.lit(False))).drop("_u", "_v"))
+    back = F.col("u") > F.col("v")
+    one = [F.lit(1).cast("long").alias("n_edges"), "length", F.array("edge_id").alias("edge_ids")]
+    if shaped:
+        one.append(F.when(back, F.reverse("geometry")).otherwise(F.col("geometry")).alias("geometry"))
+    whole = marked.where("_whole").select(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *one)
+    edges = marked.where("NOT _whole").drop("_whole")
+    summed = edges.agg(F.sum("length").alias("length")).schema["length"].dataType
+    whole = whole.withColumn("length", F.col("length").cast(summed))
+    return whole if edges.isEmpty() else whole.union(walked_chains(edges, keys, retained))
+
+
+def walked_chains(edges: DataFrame, keys: list[str], retained: DataFrame) -> DataFrame:
+    """``contract_chains`` of edges that have an end that goes."""
     pair = F.array(
         F.struct(F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(0).alias("dir")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst"), F.lit(1).alias("dir"))
     )

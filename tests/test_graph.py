@@ -206,3 +206,19 @@ def test_retention_connects_only_what_may_go(spark, monkeypatch):
     kept = graph.retention_nodes(e, ["env"], nodes_of(spark, "abcdxyz"), F.col("node_id").isin(["b", "c"]))
     assert {r["node"] for r in kept.collect()} == {"a", "b", "c", "d", "x"}
     assert asked == [3]
+
+
+def test_edges_between_kept_nodes_are_not_walked(spark, monkeypatch):
+    """Every half-edge was linked and doubled, also where no node goes."""
+    walked = []
+    found = getattr(graph, "walked_chains", graph.contract_chains)
+    monkeypatch.setattr(graph, "walked_chains", lambda e, *a: (walked.append(e.count()), found(e, *a))[1], raising=False)
+    point = lambda n: (float(ord(n)), 0.0)
+    rows = [(1, i, u, v, float(i), [point(u), point(v)]) for i, (u, v) in enumerate([("b", "a"), ("b", "c"), ("d", "c"), ("d", "e"), ("e", "e")], 1)]
+    e = spark.createDataFrame(rows, "env int, edge_id int, u string, v string, length double, geometry array<struct<x: double, y: double>>")
+    kept = lambda names: spark.createDataFrame([(1, n) for n in names], "env int, node string")
+    shape = lambda x: {(r["u"], r["v"], r["n_edges"], r["length"], tuple(r["edge_ids"]), tuple(chr(int(p["x"])) for p in r["geometry"])) for r in x.collect()}
+    alone = {("a", "b", 1, 1.0, (1,), ("a", "b")), ("d", "e", 1, 4.0, (4,), ("d", "e")), ("e", "e", 1, 5.0, (5,), ("e", "e"))}
+    assert shape(graph.contract_chains(e, ["env"], kept("abde"))) == alone | {("b", "d", 2, 5.0, (2, 3), ("b", "c", "d"))}
+    assert shape(graph.contract_chains(e, ["env"], kept("abcde"))) == alone | {("b", "c", 1, 2.0, (2,), ("b", "c")), ("c", "d", 1, 3.0, (3,), ("c", "d"))}
+    assert walked == [2]
