@@ -611,3 +611,27 @@ def test_signing_memory_goes_with_signatures():
     subsets = [math.comb(n2, k2) for k2, n2 in ngram_jaccard.SCHEMES]
     made = [ngram_jaccard.chunk(i) * s for i, s in enumerate(subsets)]
     assert max(made) <= ngram_jaccard.CHUNK * subsets[0]
+
+
+def test_pairs_of_many_shared_keys_are_made_once(spark, monkeypatch):
+    keys = {n: [k for k in range(40) if (n * 7919 + k * 104729) % 11 < 6] for n in range(12)}
+    main = {k: max(n % 4 for n in keys if k in keys[n]) for k in range(40)}
+    rows = spark.createDataFrame([(k, n, 2, n % 4, main[k], 1) for n in keys for k in keys[n]], "key long, node long, side int, c long, main long, rest long")
+    sketch = spark.createDataFrame([(n, 0) for n in keys], "node long, z int")
+    want = {(a, b) for a in keys for b in keys if a < b and a % 4 != b % 4 and set(keys[a]) & set(keys[b])}
+    monkeypatch.setattr(type(rows), "distinct", lambda self: self)
+    got = [(r["a"], r["b"]) for r in links.one_by_one(rows, sketch, lambda i, j: F.lit(True)).collect()]
+    assert set(got) == want
+    assert len(got) < 1.1 * len(want)
+    monkeypatch.setattr(links, "SEEN", 64)
+    assert sorted((r["a"], r["b"]) for r in links.one_by_one(rows, sketch, lambda i, j: F.lit(True)).collect()) == sorted(want)
+
+
+def test_keys_of_the_same_lines_are_one_bucket(spark):
+    docs = spark.createDataFrame([(1, BASE), (2, NEAR), (3, " ".join(BASE.split()[:12]) + " and words that stand in no other line of this table at all")], "doc_id long, text string")
+    lines = line_dedup.lines_of(docs)
+    held = collections.defaultdict(set)
+    for r in line_dedup.buckets(line_dedup.keyed_lines(lines, 3), 3).collect():
+        held[r["key"]].add((r["node"], r["side"], r["center"]))
+    assert len(held) > 1
+    assert len({frozenset(v) for v in held.values()}) == len(held)
