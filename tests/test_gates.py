@@ -203,3 +203,13 @@ def test_a_position_with_many_segments_is_dealt_out(spark):
     want = sorted([(i, j) for i in range(n) for j in range(i + 1, n)] + [(7, 1000)])
     assert sorted((r["a"], r["b"]) for r in rows) == want
     assert len({r["task"] for r in rows if r["x"] == 1.0}) > 1
+
+
+def test_blocks_of_a_position_meet_once(spark, monkeypatch):
+    from streetspark.operators import topology
+
+    p = spark.range(64).selectExpr("0D AS x", "0D AS y", "id AS segment_id")
+    got = [(r["a"], r["b"]) for r in topology.endpoint_pairs(p, [], 8).collect()]
+    assert sorted(got) == [(a, b) for a in range(64) for b in range(a + 1, 64)]
+    monkeypatch.setattr(type(p), "where", lambda self, on: self)
+    assert topology.endpoint_pairs(p, [], 8).count() < 0.75 * 64 * 64
